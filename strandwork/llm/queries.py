@@ -7,11 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .jaccard_join import jaccard_classes
 from .secrets import secret_digest
 from .syncmers import fingerprints
+from .toxicity import toxicity_scores
 from .url_filter import url_verdicts
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read_table(spark, sf_dir, "documents"))
 
@@ -27,6 +37,8 @@ def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_toxicity,
+        op2_jaccard_join,
         op3_syncmer_fingerprints,
         op5_url_verdicts,
         op6_secret_ledger,
