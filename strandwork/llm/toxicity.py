@@ -76,22 +76,38 @@ class _Lookup(dict):
         return found
 
 
-def found_features(words: set[str], lookup: _Lookup) -> tuple[set[int], int]:
-    """The features that occur, and how many distinct words have any."""
+def found_features(words: set[str], lookup: _Lookup) -> set[int]:
+    places: set[int] = set()
+    for w in words:
+        if f := lookup[w]:
+            places.update(f)
+    return places
+
+
+#: After the mined features: a base word; one, two, three or more distinct words with a lexicon's feature.
+EXTRA = 4
+
+
+def active(words: set[str], lookup: _Lookup, lexicon: dict[int, int]) -> list[int]:
+    """The classifier's features that a text of these distinct words has, in order."""
     places: set[int] = set()
     hits = 0
     for w in words:
         if f := lookup[w]:
             places.update(f)
-            hits += 1
-    return places, hits
+            hits += any(p in lexicon for p in f)
+    width = len(lookup.names)
+    if not words.isdisjoint(BASE_LEXICON):
+        places.add(width)
+    places.update(range(width + 1, width + 1 + min(hits, 3)))
+    return sorted(places)
 
 
 def votes(text: str | None, lookup: _Lookup, lexicon: dict[int, int]) -> int:
     """The mask of the voters that fire on the whole text."""
     text = text or ""
     words = distinct_words(text)
-    places, _ = found_features(words, lookup)
+    places = found_features(words, lookup)
     mask = hits = 0
     for p in places:
         if (k := lexicon.get(p)) is not None:
@@ -195,7 +211,7 @@ def _tree(soft: np.ndarray) -> list[int]:
     return parents
 
 
-def fit_linear(places: list[np.ndarray], target: np.ndarray, width: int, ridge: float = 2e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
+def fit_linear(places: list[np.ndarray], target: np.ndarray, width: int, ridge: float = 5e-5, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression of soft targets on sets of features, by Adam over all rows."""
     flat = np.concatenate(places).astype(np.int64) if places else np.zeros(0, np.int64)
     lengths = np.array([len(p) for p in places])
@@ -262,7 +278,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(0).to_pylist()
-            found = [sorted(found_features(distinct_words(t), lookup)[0]) for t in texts]
+            found = [active(distinct_words(t), lookup, lexicon) for t in texts]
             return pa.RecordBatch.from_arrays(
                 [pa.array([votes(t, lookup, lexicon) for t in texts], pa.int32()), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["mask", "y", "places"]
             )
@@ -278,7 +294,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     posterior, balance, table, parents = label_model(all_masks, labelled)
     rows.sort(key=lambda r: (r.mask, r.places))
     target = posterior[[r.mask for r in rows]] if rows else np.zeros(0)
-    weights, bias = fit_linear([np.array(r.places, int) for r in rows], target, len(names)) if rows else (np.zeros(len(names)), -2.0)
+    weights, bias = fit_linear([np.array(r.places, int) for r in rows], target, len(names) + EXTRA) if rows else (np.zeros(len(names) + EXTRA), -2.0)
     return Model(names, lexicon, weights, bias, balance, table, parents)
 
 
@@ -289,7 +305,7 @@ def score_texts(documents: DataFrame, model: Model) -> DataFrame:
         lookup = model.lookup()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            z = np.array([model.bias + model.weights[list(found_features(distinct_words(t), lookup)[0])].sum() for t in batch.column(2).to_pylist()])
+            z = np.array([model.bias + model.weights[active(distinct_words(t), lookup, model.lexicon)].sum() for t in batch.column(2).to_pylist()])
             score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"]
@@ -320,7 +336,7 @@ def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
         lookup = model.lookup()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            z = [model.bias + model.weights[list(found_features(distinct_words(t), lookup)[0])].sum() for t in batch.column("text").to_pylist()]
+            z = [model.bias + model.weights[active(distinct_words(t), lookup, model.lexicon)].sum() for t in batch.column("text").to_pylist()]
             keep = 1 / (1 + np.exp(-np.clip(np.array(z, float), -40, 40))) < THRESHOLD
             return batch.filter(pa.array(keep))
 
