@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, SKETCH, SLICES = 3, 128, 512
+K, SKETCH, SLICES = 3, 128, 4096
 TOKEN = r"[^\s]{1,8}"
 
 
@@ -42,6 +42,17 @@ def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(shared / F.greatest(F.size(lowest), F.lit(1)))
 
 
+def _count_below(cuts: list[int], key: Column, width: int = 64) -> Column:
+    """How many of the sorted ``cuts`` are below ``key``: a search among every 64th cut, then inside that stretch."""
+    if not cuts:
+        return F.lit(0)
+    stretches = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    longs = lambda xs: F.array(*map(F.lit, xs)).cast("array<bigint>")
+    before = F.size(F.filter(longs([x[-1] for x in stretches]), lambda x: x < key))
+    inside = F.coalesce(F.get(F.array(*map(longs, stretches)), before), longs([]))
+    return before * width + F.size(F.filter(inside, lambda x: x < key)) - F.when(before == len(stretches), before * width - len(cuts)).otherwise(0)
+
+
 def dealt_in_order(df: DataFrame, key: str, by: str, slices: int = SLICES) -> DataFrame:
     """``df`` with _slice, a range of ``key`` between its quantiles, and _more; each slice ends with a copy of the row after it.
 
@@ -51,8 +62,7 @@ def dealt_in_order(df: DataFrame, key: str, by: str, slices: int = SLICES) -> Da
     """
     cuts = df.agg(F.percentile_approx(key, [i / slices for i in range(1, slices)], 10 * slices)).first()[0]
     cuts = sorted(set(cuts or []))
-    bounds = F.array(*map(F.lit, cuts)).cast("array<bigint>")
-    place = F.size(F.filter(bounds, lambda x: x < F.col(key))) if cuts else F.lit(0)
+    place = _count_below(cuts, F.col(key))
     rows = df.withColumn("_slice", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(place)).withColumn("_more", F.lit(True))
     firsts = rows.groupBy("_slice").agg(F.min(F.struct(key, by)).alias("_f"))
     upto = Window.orderBy("_slice")
