@@ -24,25 +24,27 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 TERMS, RANK, COLUMNS, PASSAGE = 4096, 32, 40, 32
-WINDOWS = (8, 12, 16, 24, 32, 48)
-COSINE, SAME, ALIKE, ANSWER = 0.8, 0.75, 0.6, 0.8
+WINDOWS = (12, 24, 48)  # each twice the one before, and four strides of a multiple of three words
+LEAST_ITEM = 8
+COSINE, SHORT_COSINE, SAME, ALIKE, ANSWER = 0.8, 0.65, 0.75, 0.6, 0.8
 _SLICE = 60_000  # tokens at a time
-_WORD = re.compile(r"\w+")
+#: Letters, digits, the low line and all characters beyond ASCII make words.
+_TABLE = bytes(b if b >= 0x80 or chr(b).isalnum() or b == 0x5F else 0x20 for b in range(256))
 
 
 class TermColumns(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
             self.clear()
         c = self[word] = xxhash.xxh3_64_intdigest(word) % TERMS
         return c
 
-    def of(self, text: str | None) -> np.ndarray:
-        return np.array([self[w] for w in words_of(text)], np.int32)
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
 def test_matrix() -> np.ndarray:
@@ -77,7 +79,7 @@ def _sketch_pass(documents: DataFrame) -> DataFrame:
         sums = np.zeros((COLUMNS, TERMS + 1))
         passages = 0
         for batch in batches:
-            for tokens, _, _ in _streams([columns.of(t) for t in batch.column(0).to_pylist()], 0, PASSAGE):
+            for tokens, _, _ in _streams([columns.of(words_of(t)) for t in batch.column(0).to_pylist()], 0, PASSAGE):
                 rows = tokens.reshape(-1, PASSAGE)
                 passages += len(rows)
                 y = o[rows].sum(1)
@@ -121,21 +123,21 @@ def latent_terms(documents: DataFrame) -> np.ndarray:
 @dataclass
 class Item:
     item_id: int
-    words: list[str]
-    answer: list[str]
-    masks: dict[str, int]
-    answer_masks: dict[str, int]
+    words: list[bytes]
+    answer: list[bytes]
+    masks: dict[bytes, int]
+    answer_masks: dict[bytes, int]
     window: int
 
 
-def _masks(words: list[str]) -> dict[str, int]:
-    out: dict[str, int] = {}
+def _masks(words: list[bytes]) -> dict[bytes, int]:
+    out: dict[bytes, int] = {}
     for i, w in enumerate(words):
         out[w] = out.get(w, 0) | 1 << i
     return out
 
 
-def common_subsequence(masks: dict[str, int], size: int, other: list[str]) -> int:
+def common_subsequence(masks: dict[bytes, int], size: int, other: list[bytes]) -> int:
     """Length of the longest common subsequence with ``other``, bit-parallel over the first sequence's ``size`` places."""
     full = (1 << size) - 1
     v = full
@@ -151,11 +153,11 @@ def benchmark_items(benchmark: DataFrame) -> list[Item]:
     out = []
     for r in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
         words = words_of(r.text)
-        if len(words) < WINDOWS[0]:
+        if len(words) < LEAST_ITEM:
             continue
         ends = [s for x in re.split(r"[.!?]+\s|\n+", r.text) if len(s := words_of(x)) >= 3]
         answer = ends[-1] if ends else words
-        out.append(Item(r.item_id, words, answer, _masks(words), _masks(answer), max(w for w in WINDOWS if w <= len(words))))
+        out.append(Item(r.item_id, words, answer, _masks(words), _masks(answer), max((w for w in WINDOWS if w <= len(words)), default=WINDOWS[0])))
     return out
 
 
@@ -186,33 +188,34 @@ def leaks(documents: DataFrame, benchmark: DataFrame, cosine: float = COSINE) ->
         queries = {}
         for w in sorted({i.window for i in items}):
             own = [i for i in items if i.window == w]
-            q = np.stack([terms[columns.of(" ".join(i.words[:w]))].sum(0) for i in own])
-            queries[w] = own, (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).T.astype(np.float32)
+            q = np.stack([terms[columns.of(i.words[:w])].sum(0) for i in own])
+            least = np.array([cosine if len(i.words) >= w else min(cosine, SHORT_COSINE) for i in own], np.float32)
+            queries[w] = own, (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).T.astype(np.float32), least
         for batch in batches:
             ids, texts = batch.columns
             texts = texts.to_pylist()
             out: list[tuple] = []
-            for tokens, starts, first in _streams([columns.of(t) for t in texts], WINDOWS[-1], 1):
+            for tokens, starts, first in _streams([columns.of(words_of(t)) for t in texts], WINDOWS[-1], WINDOWS[-1]):
                 found: dict[tuple[int, int], tuple[float, float]] = {}
-                cut: dict[int, list[str]] = {}
-                sums = np.zeros((len(tokens) + 1, RANK), np.float32)
-                np.cumsum(terms[tokens], axis=0, out=sums[1:])
-                for w, (own, q) in queries.items():
-                    at = np.arange(0, max(1, len(tokens) - w), w // 4)
-                    e = sums[np.minimum(at + w, len(tokens))] - sums[at]
+                cut: dict[int, list[bytes]] = {}
+                steps = terms[tokens].reshape(-1, WINDOWS[0] // 4, RANK).sum(1)
+                for w, (own, q, least) in queries.items():
+                    while len(tokens) // len(steps) < w // 4:
+                        steps = steps[0::2] + steps[1::2]
+                    e = steps[:-3] + steps[1:-2] + steps[2:-1] + steps[3:]
                     norm = np.sqrt(np.einsum("ij,ij->i", e, e))
                     like = e @ q
-                    near = like >= cosine * np.maximum(norm, 1e-6)[:, None]
+                    near = like >= np.maximum(norm, 1e-6)[:, None] * least
                     (rows,) = np.nonzero(near.any(1))
                     for r in rows.tolist():
-                        doc = int(np.searchsorted(starts, at[r] + w // 8, "right")) - 1
+                        doc = int(np.searchsorted(starts, r * (w // 4) + w // 8, "right")) - 1
                         if doc not in cut:
                             cut[doc] = words_of(texts[first + doc])
                         for k in np.flatnonzero(near[r]).tolist():
                             item = own[k]
                             if (doc, k + 1000 * w) in found:
                                 continue
-                            if (lcs := confirm(item, cut[doc], int(at[r] - starts[doc]))) is not None:
+                            if (lcs := confirm(item, cut[doc], int(r * (w // 4) - starts[doc]))) is not None:
                                 found[doc, k + 1000 * w] = float(like[r, k] / norm[r]), lcs
                                 out.append((first + doc, item.item_id, *found[doc, k + 1000 * w]))
             at, item, c, lcs = zip(*out) if out else ((), (), (), ())
@@ -221,7 +224,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, cosine: float = COSINE) ->
     return documents.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def confirm(item: Item, words: list[str], start: int) -> float | None:
+def confirm(item: Item, words: list[bytes], start: int) -> float | None:
     """The share of the item that the passage around ``start`` has in order, if that makes it a leak."""
     n = len(item.words)
     slack = max(4, n // 4)
