@@ -74,7 +74,7 @@ def cluster_labels(wide: DataFrame, n_clusters: int, neighbours: int = 10) -> Da
         found = {"spectral": cluster.spectral(x, k, neighbours), "agglomerative": cluster.ward(x, k), "density": cluster.density(x), "mixture": cluster.gaussian_mixture(x, k)}
         return pd.concat([pd.DataFrame({"contig": pdf["contig"], "method": m, "cluster": c.astype(np.int64)}) for m, c in found.items()])
 
-    return wide.groupBy(F.lit(0)).applyInPandas(label, "contig string, method string, cluster long")
+    return wide.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(label, "contig string, method string, cluster long")
 
 
 def consensus(labels: DataFrame, contig_bins: DataFrame, lengths: DataFrame, votes: int = 4, main_share: float = 0.85) -> DataFrame:

@@ -1,4 +1,429 @@
 """Registered queries of the methylation engine and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import seqfn, stats
+from ..functions.motif import Motif
+from ..operators import binning, discover, linker, neighbours, pileup, postprocess
+from . import views as v
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+MOTIFS = [Motif.read("GATC", 1), Motif.read("GA.C", 1), Motif.read("CAT", 1)]
+HITS = v.hits_sql([(m.text, m.position, m.reverse_complement().text, m.reverse_complement().position) for m in MOTIFS])
+COUNTED = f"""{v.ADENINES}, {HITS}, v_count as (select bin, motif, mod_position, count(*) filter (fraction_mod >= cast(0.7 as double)) as n_mod,
+  count(*) filter (fraction_mod <= cast(0.3 as double)) as n_nomod from v_meth join v_hit using (contig, strand, position) where Nvalid_cov > 5 group by all)"""
+METHYLATION = f"""{v.ADENINES}, {HITS}, v_cm as (select contig, bin, motif, mod_position, median(fraction_mod) as med,
+  sum(fraction_mod * Nvalid_cov) / nullif(sum(Nvalid_cov), 0) as wmean, avg(Nvalid_cov) as mean_read_cov, count(*) as n_motif_obs
+  from v_meth join v_hit using (contig, strand, position) where Nvalid_cov >= 1 group by all)"""
+
+
+def _hits(spark, sf_dir):
+    return pileup.motif_hits(v.sequences(spark, sf_dir), MOTIFS)
+
+
+def _methylation(spark, sf_dir, output="median"):
+    hits = _hits(spark, sf_dir).withColumn("mod_type", F.lit("a"))
+    return pileup.contig_methylation(v.adenine_pileup(spark, sf_dir), hits, output)
+
+
+def _binned(spark, sf_dir):
+    return binning.add_bin(_methylation(spark, sf_dir), v.sequences(spark, sf_dir))
+
+
+@query(f"""with {v.PILEUP} select contig, position, mod_type, strand, fraction_mod >= cast(0.7 as double) as methylated, fraction_mod <= cast(0.3 as double) as unmethylated
+  from v_pileup where Nvalid_cov > 5""")
+def q_pileup_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meth, bare = pileup.split_confident(F.col("fraction_mod"))
+    return pileup.covered(v.pileup(spark, sf_dir)).select("contig", "position", "mod_type", "strand", meth.alias("methylated"), bare.alias("unmethylated"))
+
+
+@query(f"""with {v.PILEUP}, k as (select contig, mod_type from v_pileup group by all
+  having count(*) filter (fraction_mod > cast(0.7 as double)) / count(*) > cast(0.0001 as double) and count(*) filter (fraction_mod > cast(0.7 as double)) > 50)
+  select contig, mod_type, position, strand, fraction_mod from v_pileup semi join k using (contig, mod_type)""")
+def q_contigmod_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.often_modified(v.pileup(spark, sf_dir)).select("contig", "mod_type", "position", "strand", "fraction_mod")
+
+
+@query(f"""with {v.EVENTS} select event_id, contig, position, fraction_mod from (select *, max(fraction_mod) over
+  (partition by contig, strand order by position range between 8 preceding and 8 following) as top from v_events) where fraction_mod = top or fraction_mod < cast(0.7 as double)""")
+def q_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.without_neighbours(v.event_pileup(spark, sf_dir)).select("event_id", "contig", "position", "fraction_mod")
+
+
+@query("""with b as (select cast(s_suppkey as varchar) as contig, cast(s_nationkey as varchar) as bin from supplier where s_acctbal > 0)
+  select cast(l_suppkey as varchar) as contig, coalesce(bin, 'unbinned') as bin, count(*) as n from lineitem left join b on contig = cast(l_suppkey as varchar) group by all""")
+def q_bin_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = v.table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("contig"), F.col("s_nationkey").cast("string").alias("bin"))
+    rows = v.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("contig")).agg(F.count("*").alias("n"))
+    return rows.join(bins, "contig", "left").select("contig", F.coalesce("bin", F.lit("unbinned")).alias("bin"), "n")
+
+
+@query(f"""with {v.SEQUENCES} select contig, len(list_filter(range(0, greatest(len(seq) - 3, 0)), lambda i: regexp_full_match(substr(seq, cast(i + 1 as bigint), 4), 'GA.C'))) as hits from v_seq""")
+def q_motif_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.sequences(spark, sf_dir).select("contig", seqfn.count_overlapping(F.col("seq"), "GA.C").cast("long").alias("hits"))
+
+
+@query(f"with {v.SEQUENCES}, {HITS} select contig, motif, cast(mod_position as integer) as mod_position, strand, position from v_hit")
+def q_motif_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir)
+
+
+@query(f"with {v.SEQUENCES} select contig, reverse(translate(seq, 'ACGTRYSWKMBDHVN.[]', 'TGCAYRSWMKVHDBN.][')) as rc from v_seq")
+def q_revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.sequences(spark, sf_dir).select("contig", seqfn.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query("""with m as (select p_partkey, regexp_replace(upper(p_name), '[^ACGTRYSWKMBDHVN]', 'N', 'g') as motif from part)
+  select p_partkey, motif, case when len(regexp_extract_all(motif, 'N{2,}')) >= 2 then 'ambiguous' when regexp_matches(motif, 'N{3,}') then 'bipartite'
+  when motif = reverse(translate(motif, 'ACGTRYSWKMBDHVN.[]', 'TGCAYRSWMKVHDBN.][')) then 'palindrome' else 'non-palindrome' end as motif_type from m""")
+def q_motif_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = v.table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(F.upper("p_name"), "[^ACGTRYSWKMBDHVN]", "N").alias("motif"))
+    return m.select("p_partkey", "motif", seqfn.motif_type(F.col("motif")).alias("motif_type"))
+
+
+@query(f"""with {v.SEQUENCES} select contig, (len(seq) - len(replace(seq, 'GC', ''))) // 2 as n_gc,
+  round(len(regexp_replace(seq, '[^GC]', '', 'g')) / cast(nullif(len(seq), 0) as double), 9) as gc from v_seq""")
+def q_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.sequences(spark, sf_dir).select("contig", seqfn.count_plain(F.col("seq"), "GC").cast("long").alias("n_gc"), F.round(seqfn.gc(F.col("seq")), 9).alias("gc"))
+
+
+WINDOWS = f"""{v.SEQUENCES}, {HITS}, v_win as (select lang, contig, motif, strand, position, case strand when '+' then w else reverse(translate(w, 'ACGT', 'TGCA')) end as win
+  from (select lang, contig, motif, strand, position, substr(seq, cast(position - 4 as bigint), 11) as w from v_hit join v_seq using (contig) where position > 5 and position < len(seq) - 5))"""
+
+
+def _windows(spark, sf_dir):
+    rows = _hits(spark, sf_dir).join(v.sequences(spark, sf_dir), "contig").withColumn("position", F.col("position").cast("int"))
+    return pileup.windows_at(rows, 5).withColumn("position", F.col("position").cast("long"))
+
+
+@query(f"with {WINDOWS} select contig, motif, strand, position, win as \"window\" from v_win")
+def q_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir).select("contig", "motif", "strand", "position", "window")
+
+
+PSSM = f"""{WINDOWS}, v_long as (select lang, motif, unnest(string_split(win, '')) as base, unnest(range(0, 11)) as pos from v_win),
+  v_n as (select lang, motif, pos, base, count(*) as n from v_long group by all),
+  v_pssm as (select lang, motif, pos, base, n / cast(sum(n) over (partition by lang, motif, pos) as double) as frequency from v_n)"""
+
+
+@query(f"with {PSSM} select lang, motif, cast(pos as integer) as pos, base, round(frequency, 9) as frequency from v_pssm")
+def q_pssm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.position_frequencies(_windows(spark, sf_dir), ["lang", "motif"]).select("lang", "motif", "pos", "base", F.round("frequency", 9).alias("frequency"))
+
+
+@query(f"""with {PSSM}, b as (select motif, pos, base, sum(n) as n from v_n group by all), back as (select motif, pos, base, n / cast(sum(n) over (partition by motif, pos) as double) as q from b)
+  select lang, motif, cast(pos as integer) as pos, round(sum(frequency * ln(frequency / q)), 8) + 0.0 as kl from v_pssm join back using (motif, pos, base) group by all""")
+def q_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _windows(spark, sf_dir)
+    p = pileup.position_frequencies(w, ["lang", "motif"])
+    q = pileup.position_frequencies(w, ["motif"])
+    back = p.select("lang", "motif").distinct().join(q, "motif")
+    return pileup.divergence(p, back, ["lang", "motif"]).select("lang", "motif", "pos", (F.round("kl", 8) + 0.0).alias("kl"))
+
+
+@query(f"""with {COUNTED} select bin, motif, cast(mod_position as integer) as mod_position, n_mod, n_nomod, round((n_mod + 5) / cast(n_mod + n_nomod + 10 as double), 9) as mean,
+  round((n_mod + 5) * (n_nomod + 5) / (power(n_mod + n_nomod + 10, 2) * (n_mod + n_nomod + 11)), 12) as variance from v_count""")
+def q_motif_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = pileup.motif_counts(pileup.covered(v.adenine_pileup(spark, sf_dir)), _hits(spark, sf_dir), ["bin"])
+    a, b = F.col("alpha"), F.col("beta")
+    return counted.select("bin", "motif", "mod_position", "n_mod", "n_nomod", F.round(stats.mean(a, b), 9).alias("mean"), F.round(stats.variance(a, b), 12).alias("variance"))
+
+
+@query(f"""with {COUNTED}, s as (select n.bin, cast(n.n_mod + 5 as double) as na, cast(n.n_nomod + 5 as double) as nb, cast(c.n_mod + 5 as double) as ca, cast(c.n_nomod + 5 as double) as cb
+  from v_count n join v_count c on n.bin = c.bin and n.motif = 'GATC' and c.motif = 'GA.C')
+  select bin, round({stats.predictive_score_sql('na', 'nb', 'ca', 'cb')}, 8) + 0.0 as score from s""")
+def q_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = pileup.motif_counts(pileup.covered(v.adenine_pileup(spark, sf_dir)), _hits(spark, sf_dir), ["bin"])
+    n = counted.where("motif = 'GATC'").select("bin", F.col("alpha").alias("na"), F.col("beta").alias("nb"))
+    c = counted.where("motif = 'GA.C'").select("bin", F.col("alpha").alias("ca"), F.col("beta").alias("cb"))
+    return n.join(c, "bin").select("bin", (F.round(stats.predictive_score(*map(F.col, ("na", "nb", "ca", "cb"))), 8) + 0.0).alias("score"))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("contig", "motif", "mod_type", F.col("mod_position").cast("int").alias("mod_position"), F.round("methylation_value", 9).alias("methylation_value"), F.round("mean_read_cov", 9).alias("mean_read_cov"), "n_motif_obs")
+
+
+_CM = "select contig, motif, 'a' as mod_type, cast(mod_position as integer) as mod_position, round({}, 9) as methylation_value, round(mean_read_cov, 9) as mean_read_cov, cast(n_motif_obs as integer) as n_motif_obs from v_cm where n_motif_obs * mean_read_cov >= 24"
+
+
+@query(f"with {METHYLATION} {_CM.format('med')}")
+def q_contig_meth_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pileup.enough_evidence(_methylation(spark, sf_dir)))
+
+
+@query(f"with {METHYLATION} {_CM.format('wmean')}")
+def q_contig_meth_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pileup.enough_evidence(_methylation(spark, sf_dir, "weighted_mean")))
+
+
+IMPUTED = f"""{METHYLATION}, r as (select bin, contig, motif || '_a_' || mod_position as motif_mod, med, n_motif_obs from v_cm),
+  mean as (select bin, motif_mod, sum(med * n_motif_obs) / sum(n_motif_obs) as m from r group by all),
+  v_imp as (select g.bin, g.contig, mean.motif_mod, coalesce(r.med, m) as value from (select distinct bin, contig from r) g join mean on g.bin = mean.bin
+  left join r on r.contig = g.contig and r.motif_mod = mean.motif_mod)"""
+
+
+@query(f"with {IMPUTED} select bin, contig, motif_mod, round(value, 9) as methylation_value from v_imp")
+def q_impute_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binning.impute_in_bins(_binned(spark, sf_dir)).withColumn("methylation_value", F.round("methylation_value", 9))
+
+
+@query(f"""with {METHYLATION}, r as (select case when lang = 'en' then 'unbinned' else 'b' end as bin, contig, motif || '_a_' || mod_position as motif_mod, med
+  from v_cm join v_seq using (contig)), g as (select distinct contig, k.motif_mod from (select contig from r where bin = 'unbinned') cross join (select distinct motif_mod from r) k)
+  select 'unbinned' as bin, g.contig, g.motif_mod, round(coalesce(med, cast((cast(g.contig as bigint) * 31 + len(g.motif_mod) * 7) % 100 as double) / 100 * cast(0.15 as double)), 9) as methylation_value
+  from g left join r on r.contig = g.contig and r.motif_mod = g.motif_mod""")
+def q_impute_unbinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = v.sequences(spark, sf_dir).where("lang <> 'en' or lang is null").select("contig", F.lit("b").alias("bin"))
+    noise = F.pmod(F.col("contig").cast("long") * 31 + F.length("motif_mod") * 7, F.lit(100)).cast("double") / 100 * 0.15
+    out = binning.impute_unbinned(binning.add_bin(_methylation(spark, sf_dir), bins), noise=noise)
+    return out.withColumn("methylation_value", F.round("methylation_value", 9))
+
+
+_NAMES = ["CAT_a_1", "GA.C_a_1", "GATC_a_1"]
+
+
+@query(f"with {IMPUTED} select contig, " + ", ".join(f"round(coalesce(max(value) filter (motif_mod = '{n}'), 0), 9) as {n.replace('.', 'N')}" for n in _NAMES) + " from v_imp group by contig")
+def q_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = binning.matrix(binning.impute_in_bins(_binned(spark, sf_dir)), _NAMES)
+    return wide.select("contig", *(F.round(F.col(f"`{n}`"), 9).alias(n.replace(".", "N")) for n in _NAMES))
+
+
+@query("""select cast(s_suppkey as varchar) as contig, method, cast(cluster as bigint) as cluster from
+  (select s_suppkey, s_nationkey as agglomerative, s_suppkey % 7 as density, (s_nationkey + s_suppkey) % 5 as mixture from supplier)
+  unpivot (cluster for method in (agglomerative, density, mixture))""")
+def q_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = v.table(spark, sf_dir, "supplier")
+    wide = s.select(F.col("s_suppkey").cast("string").alias("contig"), F.col("s_nationkey").cast("long").alias("agglomerative"), (F.col("s_suppkey") % 7).cast("long").alias("density"), ((F.col("s_nationkey") + F.col("s_suppkey")) % 5).cast("long").alias("mixture"))
+    return wide.unpivot("contig", ["agglomerative", "density", "mixture"], "method", "cluster")
+
+
+CLUSTERED = """c as (select cast(s_suppkey as varchar) as contig, cast(s_nationkey as varchar) as bin, cast(1000 + (s_suppkey * 37) % 500 as bigint) as length, s_suppkey as k, s_nationkey as n from supplier),
+  l as (select contig, bin, length, 'm' || m as method, cast(case when (k * 7) % 23 = 0 or (k * m) % 29 = 0 then n + 100 else n end as bigint) as cluster from c cross join (select unnest(range(1, 5)) as m))"""
+
+
+@query(f"""with {CLUSTERED}, b as (select bin, cast(sum(length) as bigint) as bin_length, count(*) as n_contigs_bin from c group by bin),
+  p as (select bin, method, cluster, sum(length) as cl, count(*) as nc from l group by all),
+  f as (select *, rank() over (partition by bin, method order by cl desc) as r from p join b using (bin)),
+  m as (select bin, method, cluster as bin_cluster, bin_length, n_contigs_bin, nc / cast(n_contigs_bin as double) as fraction_contigs, cl / cast(bin_length as double) as fraction_length from f where r = 1 and cl / cast(bin_length as double) >= cast(0.85 as double)),
+  j as (select contig, bin, method, cluster, bin_cluster, bin_length, n_contigs_bin, fraction_contigs, fraction_length from l join m using (bin, method)),
+  o as (select contig from j group by contig having count(*) filter (cluster <> bin_cluster) >= 4)
+  select contig, bin, method, cluster, bin_cluster, bin_length, n_contigs_bin, round(fraction_contigs, 9) as fraction_contigs, round(fraction_length, 9) as fraction_length from j semi join o using (contig)""")
+def q_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = v.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    contig = F.col("k").cast("string").alias("contig")
+    m = F.explode(F.sequence(F.lit(1), F.lit(4)))
+    labels = s.select(contig, "k", "n", m.alias("m"))
+    moved = (F.col("k") * 7 % 23 == 0) | (F.col("k") * F.col("m") % 29 == 0)
+    labels = labels.select("contig", F.concat(F.lit("m"), "m").alias("method"), F.when(moved, F.col("n") + 100).otherwise(F.col("n")).cast("long").alias("cluster"))
+    lengths = s.select(contig, (1000 + F.col("k") * 37 % 500).cast("long").alias("length"))
+    out = binning.consensus(labels, s.select(contig, F.col("n").cast("string").alias("bin")), lengths)
+    return out.withColumns({c: F.round(c, 9) for c in ("fraction_contigs", "fraction_length")})
+
+
+@query("""with a as (select cast(s_suppkey as varchar) as contig, 'm' || m as method, 'b' || (s_nationkey + case when (s_suppkey * m) % 3 = 0 then m else 0 end) as assigned_bin,
+  ((s_suppkey * 13 + m * 7) % 31 + 70) / cast(100 as double) as prob from supplier cross join (select unnest(range(1, 4)) as m)),
+  p as (select contig, count(distinct assigned_bin) as bins, avg(prob) as am from a group by contig), j as (select contig, assigned_bin, count(*) as n, avg(prob) as om from a group by all)
+  select contig, assigned_bin, method, prob, round(case when bins = 1 then am else om end, 9) as mean_prob,
+  case when bins = 1 and round(am, 12) >= cast(0.8 as double) then 'high_confidence' when bins = 1 then 'medium_confidence' else 'low_confidence' end as confidence
+  from a join p using (contig) join j using (contig, assigned_bin) where bins = 1 or (bins = 2 and n = 2)""")
+def q_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = v.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("m"))
+    b = F.col("s_nationkey") + F.when(F.col("s_suppkey") * F.col("m") % 3 == 0, F.col("m")).otherwise(0)
+    prob = ((F.col("s_suppkey") * 13 + F.col("m") * 7) % 31 + 70) / 100.0
+    a = s.select(F.col("s_suppkey").cast("string").alias("contig"), F.concat(F.lit("m"), "m").alias("method"), F.concat(F.lit("b"), b.cast("string")).alias("assigned_bin"), prob.alias("prob"))
+    return binning.confidence(a).withColumn("mean_prob", F.round("mean_prob", 9))
+
+
+@query("""with d as (select q.vec_id as query_id, r.vec_id as vec_id, list_distance(cast(q.embedding as double[]), cast(r.embedding as double[])) as distance
+  from embeddings q join embeddings r on q.vec_id % 100 = 0 and q.vec_id <> r.vec_id),
+  k as (select *, row_number() over (partition by query_id order by round(distance, 6), vec_id) as rank from d) select query_id, vec_id, cast(rank as integer) as rank, round(distance, 4) as distance from k where rank <= 3""")
+def q_knn3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = v.table(spark, sf_dir, "embeddings")
+    return neighbours.nearest_rows(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 3).withColumn("distance", F.round("distance", 4))
+
+
+KMERS = f"""{v.SEQUENCES}, v_k as (select lang as reference, 'a' as mod_type, substr(seq, cast(i + 1 as bigint), {{k}}) as motif_iupac, count(*) as n_mod
+  from (select lang, seq, unnest(range(0, len(seq) - {{k}} + 1)) as i from v_seq) group by all)"""
+
+
+def _kmers(spark, sf_dir, k):
+    """Counts of all k-mers by language: the pieces of each sequence are cut by a built-in sequence, not by a loop."""
+    s = v.sequences(spark, sf_dir).where(F.length("seq") >= k)
+    at = s.select("lang", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - (k - 1))).alias("i"))
+    return at.groupBy(F.col("lang").alias("reference"), F.lit("a").alias("mod_type"), F.substring(F.col("seq"), F.col("i"), F.lit(k)).alias("motif_iupac")).agg(F.count("*").alias("n_mod"))
+
+
+@query(f"""with {KMERS.format(k=4)} select a.reference, a.mod_type, a.motif_iupac, a.n_mod, b.motif_iupac as motif_iupac_complement, b.n_mod as n_mod_complement
+  from v_k a left join v_k b on a.reference = b.reference and a.motif_iupac = reverse(translate(b.motif_iupac, 'ACGT', 'TGCA')) where b.motif_iupac is null or a.motif_iupac >= b.motif_iupac""")
+def q_complement_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postprocess.join_complements(_kmers(spark, sf_dir, 4))
+
+
+@query(f"""with {KMERS.format(k=3)}, v_2 as (select distinct reference, substr(motif_iupac, 1, 2) as motif from v_k)
+  select p.reference, p.motif as parent_motif, c.motif_iupac as child_motif from v_2 p join v_k c on p.reference = c.reference and starts_with(c.motif_iupac, p.motif)""")
+def q_submotif_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    three = _kmers(spark, sf_dir, 3).select("reference", F.col("motif_iupac").alias("motif"))
+    two = three.select("reference", F.substring("motif", 1, 2).alias("motif")).distinct()
+    motifs = three.union(two).withColumns({"mod_position": F.lit(0), "alpha": F.lit(5.0), "beta": F.lit(5.0)})
+    return postprocess.sub_motif_pairs(motifs, ["reference"]).select("reference", "parent_motif", "child_motif")
+
+
+BLAST = """h as (select l_orderkey * 10 + l_linenumber as row_no, cast(l_partkey as varchar) as qseqid, l_quantity * 2 as pident, 100 - l_tax * 300 as qcovs, l_extendedprice as bitscore,
+  'M.' || l_suppkey || '   ' || case l_returnflag when 'A' then 'GATC' when 'N' then 'CCWGG' else 'GANTC' end || '  x' as salltitles from lineitem)"""
+
+
+def _blast(spark, sf_dir):
+    i = v.table(spark, sf_dir, "lineitem")
+    motif = F.when(F.col("l_returnflag") == "A", "GATC").when(F.col("l_returnflag") == "N", "CCWGG").otherwise("GANTC")
+    return i.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"), F.col("l_partkey").cast("string").alias("qseqid"), (F.col("l_quantity") * 2).alias("pident"),
+        (100 - F.col("l_tax") * 300).alias("qcovs"), F.col("l_extendedprice").alias("bitscore"), F.concat(F.lit("M."), F.col("l_suppkey").cast("string"), F.lit("   "), motif, F.lit("  x")).alias("salltitles"),
+    )
+
+
+@query(f"""with {BLAST}, r as (select *, row_number() over (partition by qseqid order by bitscore desc, row_no) as k from h where pident >= 80 and qcovs >= 80)
+  select qseqid, row_no, bitscore, string_split(salltitles, '   ')[1] as REbase_id, string_split(string_split(salltitles, '   ')[2], '  ')[1] as motif from r where k = 1""")
+def q_best_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linker.significant_hits(_blast(spark, sf_dir)).select("qseqid", "row_no", "bitscore", "REbase_id", "motif")
+
+
+@query("""with f as (select cast(l_orderkey as varchar) as gene_id, case l_partkey % 4 when 0 then 'ac' when 1 then 'm' when 2 then 'ac' end as t from lineitem)
+  select gene_id, array_to_string(list_sort(list_distinct(list(t))), ', ') as mod_types, max(t) as mod_type from f where t is not null group by gene_id""")
+def q_mod_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    acc = F.element_at(F.array(*map(F.lit, ("PF01555.21", "PF00145.3", "PF02086", "PF99999.1"))), (F.col("l_partkey") % 4 + 1).cast("int"))
+    return linker.gene_mod_types(v.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("gene_id"), acc.alias("HMM_acc")))
+
+
+@query("""with s as (select 's' || o_orderkey as sys_id, o_orderkey as row_no, unnest(string_split('g' || o_custkey || ',g' || (o_custkey + 3), ',')) as hit_id from orders where o_orderstatus = 'F')
+  select hit_id, arg_min(sys_id, row_no) as sys_id from s where hit_id in (select 'g' || c_custkey from customer) group by hit_id""")
+def q_member_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = v.table(spark, sf_dir, "orders")
+    g = lambda c: F.concat(F.lit("g"), c.cast("string"))
+    kind = F.when(F.col("o_orderstatus") == "F", "RM").otherwise("other")
+    systems = o.select(F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("sys_id"), F.col("o_orderkey").alias("row_no"), kind.alias("type"), F.concat(g(F.col("o_custkey")), F.lit(","), g(F.col("o_custkey") + 3)).alias("protein_in_syst"))
+    return linker.first_system(v.table(spark, sf_dir, "customer").select(g(F.col("c_custkey")).alias("hit_id")), systems, linker.RM_SYSTEMS)
+
+
+GENES = """g as (select p_partkey as gene_row, 'g' || p_partkey as gene_id, 'r' || (p_partkey % 900) as reference, case p_size % 4 when 0 then 'ac' when 1 then 'm' end as mod_type,
+  case when p_size % 3 = 0 then 'y' || (p_partkey % 17) end as sys_id, case p_size % 5 when 0 then 'bipartite' when 1 then 'palindrome' when 2 then 'non-palindrome' when 3 then 'bipartite, non-palindrome' else 'undefined' end as motif_type from part)"""
+
+
+def _genes(spark, sf_dir):
+    p = v.table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    types = F.element_at(F.array(*map(F.lit, ("bipartite", "palindrome", "non-palindrome", "bipartite, non-palindrome", "undefined"))), (F.col("p_size") % 5 + 1).cast("int"))
+    return p.select(
+        k.alias("gene_row"), F.concat(F.lit("g"), k.cast("string")).alias("gene_id"), F.concat(F.lit("r"), (k % 900).cast("string")).alias("reference"),
+        F.when(F.col("p_size") % 4 == 0, "ac").when(F.col("p_size") % 4 == 1, "m").alias("mod_type"), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("y"), (k % 17).cast("string"))).alias("sys_id"), types.alias("motif_type"),
+    )
+
+
+def _link_motifs(spark, sf_dir):
+    """motif_row, reference, motif, assign_mod_type, motif_type from suppliers."""
+    s = v.table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    return s.select(
+        k.alias("motif_row"), F.concat(F.lit("r"), k.cast("string")).alias("reference"), pick(("GATC", "CCWGG", "GAAGAC", "GANNNNTGC"), k % 4).alias("motif"),
+        pick(("ac", "m"), F.col("s_nationkey") % 2).alias("assign_mod_type"), pick(("palindrome", "palindrome", "non-palindrome", "bipartite"), k % 4).alias("motif_type"),
+    )
+
+
+@query(f"with {GENES} select * from g union all select gene_row, gene_id, reference, t as mod_type, sys_id, motif_type from g cross join (select unnest(['ac', 'm']) as t) where mod_type is null")
+def q_pseudo_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linker.with_pseudo_entries(_genes(spark, sf_dir))
+
+
+@query(f"""with {GENES}, e as (select * from g union all select gene_row, gene_id, reference, t as mod_type, sys_id, motif_type from g cross join (select unnest(['ac', 'm']) as t) where mod_type is null),
+  m as (select s_suppkey as motif_row, 'r' || s_suppkey as reference, case s_nationkey % 2 when 0 then 'ac' else 'm' end as amt, case s_suppkey % 4 when 2 then 'non-palindrome' when 3 then 'bipartite' else 'palindrome' end as mt from supplier),
+  c as (select *, count(*) over (partition by reference, amt, mt) as nm from m),
+  f as (select c.motif_row, c.nm, e.* from c join e on c.reference = e.reference and c.amt = e.mod_type and list_contains(string_split(e.motif_type, ', '), c.mt)),
+  a as (select motif_row, nm, count(*) as n, count(distinct sys_id) as s, count(sys_id) as p, array_to_string(list(gene_id order by gene_row), ', ') as candidate_genes from f group by all)
+  select motif_row, candidate_genes from a where nm = 1 and (n = 1 or (s = 1 and p = n))""")
+def q_assign_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, single, _ = linker._single_types(linker.with_pseudo_entries(_genes(spark, sf_dir)), _link_motifs(spark, sf_dir))
+    return single
+
+
+@query()
+def q_assign_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three rounds; motifs with their candidate genes."""
+    genes = _genes(spark, sf_dir).withColumn("motif_guess", F.when(F.col("gene_row") % 13 == 0, "GATC"))
+    return linker.assign(genes, _link_motifs(spark, sf_dir))[1]
+
+
+@query("""with c as (select 'c' || s_suppkey as contig, 'b' || s_nationkey as bin from supplier), x as (select 'c' || s_suppkey as contig from supplier where s_acctbal < 0)
+  select contig, bin from c anti join x using (contig) union all select 'c' || s_suppkey as contig, 'b' || (s_nationkey + 1) as bin from supplier where s_acctbal < -500""")
+def q_new_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = v.table(spark, sf_dir, "supplier")
+    contig = F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("contig")
+    b = lambda c: F.concat(F.lit("b"), c.cast("string"))
+    include = s.where("s_acctbal < 0").select(contig, b(F.col("s_nationkey") + 1).alias("assigned_bin"), F.when(F.col("s_acctbal") < -500, "high_confidence").otherwise("medium_confidence").alias("confidence"))
+    return binning.new_contig_bins(s.select(contig, b(F.col("s_nationkey")).alias("bin")), s.where("s_acctbal < 0").select(contig), include)
+
+
+@query(f"with {v.PILEUP} select distinct contig, mod_type, strand from v_pileup")
+def q_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.pileup(spark, sf_dir).select("contig", "mod_type", "strand").distinct()
+
+
+@query("select distinct o_custkey as contig from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 0)")
+def q_setdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = v.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("contig"))
+    return v.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("contig")).distinct().join(known, "contig", "left_anti")
+
+
+@query(f"""with {v.PILEUP}, r as (select contig, position, mod_type, strand, row_number() over (partition by contig order by position, mod_type, strand, fraction_mod, Nvalid_cov) as k from v_pileup)
+  select contig, count(*) as n from r where k <= 20 group by contig""")
+def q_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling is the feature: at most 20 rows of each contig, chosen by hash; the twin checks how many."""
+    p = v.pileup(spark, sf_dir)
+    return pileup.sample_per_key(p, "contig", ["position", "mod_type", "strand", "fraction_mod", "Nvalid_cov"], 20).groupBy("contig").agg(F.count("*").alias("n"))
+
+
+@query()
+def q_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discovery per language on adenines whose GATC sites are methylated."""
+    s = v.sequences(spark, sf_dir).where(F.length("seq") > 50)
+    a = v.adenine_pileup(spark, sf_dir).select("contig", "position", "mod_type", "strand", "Nvalid_cov")
+    sites = pileup.motif_hits(s, [Motif.read("GATC", 1)]).select("contig", "strand", "position", F.lit(1.0).alias("site"))
+    p = a.join(sites, ["contig", "strand", "position"], "left").withColumn("fraction_mod", F.coalesce("site", F.lit(0.05))).drop("site")
+    return discover.discover_motifs(p, s, s.select("contig", F.col("lang").alias("bin")))
+
+
+def _supplier_methylation(spark, sf_dir):
+    rows = pileup.covered(v.pileup(spark, sf_dir))
+    return rows.groupBy("contig", F.col("mod_type").alias("motif"), F.col("strand").alias("mod_type"), F.lit(1).cast("byte").alias("mod_position")).agg(
+        F.median("fraction_mod").alias("methylation_value"), F.avg("Nvalid_cov").alias("mean_read_cov"), F.count("*").cast("int").alias("n_motif_obs")
+    )
+
+
+@query()
+def q_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contamination: four clusterings of the suppliers' profiles and their vote."""
+    bins = v.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("contig"), F.col("s_nationkey").cast("string").alias("bin"))
+    return binning.detect_contamination(_supplier_methylation(spark, sf_dir), bins, bins.select("contig", F.lit(1000).cast("long").alias("length")), votes=1)
+
+
+@query()
+def q_include(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposed bins of the suppliers without one."""
+    s = v.table(spark, sf_dir, "supplier").where("s_acctbal > 0")
+    return binning.include_contigs(_supplier_methylation(spark, sf_dir), s.select(F.col("s_suppkey").cast("string").alias("contig"), F.col("s_nationkey").cast("string").alias("bin")))
