@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-TERMS, RANK, COLUMNS, PASSAGE = 4096, 32, 40, 32
+TERMS, RANK, COLUMNS, PASSAGE = 4096, 64, 72, 32
 WINDOWS = (12, 24, 48)  # each twice the one before, and four strides of a multiple of three words
 LEAST_ITEM = 8
-COSINE, SHORT_COSINE, SAME, ALIKE, ANSWER = 0.8, 0.65, 0.75, 0.6, 0.8
+COSINE, SHORT_COSINE, SAME, ALIKE, ANSWER = 0.75, 0.65, 0.75, 0.6, 0.8
 _SLICE = 60_000  # tokens at a time
 #: Letters, digits, the low line and all characters beyond ASCII make words.
 _TABLE = bytes(b if b >= 0x80 or chr(b).isalnum() or b == 0x5F else 0x20 for b in range(256))
@@ -100,9 +100,11 @@ def _sketch_pass(documents: DataFrame) -> DataFrame:
 
 
 def latent_terms(documents: DataFrame) -> np.ndarray:
-    """Term vectors (TERMS + 1 by RANK, the last row zero): idf times the leading right singular vectors.
+    """Term vectors (TERMS + 1 by RANK, the last row zero) from the leading right singular vectors.
 
-    A randomised decomposition over all passages of all documents; the driver gets TERMS rows.
+    A text folds in as its weighted terms times the vectors over the singular values, so that what all
+    texts of a language share doesn't outweigh the rest. A randomised decomposition over all passages
+    of all documents; the driver gets TERMS rows.
     """
     frequency, product, passages = np.zeros(TERMS), np.zeros((TERMS, COLUMNS)), 0
     for r in _sketch_pass(documents).collect():  # one row for each hashed term
@@ -116,8 +118,9 @@ def latent_terms(documents: DataFrame) -> np.ndarray:
     scale = max(float(np.trace(core)), 1e-9)
     values, vectors = np.linalg.eigh(core + np.eye(COLUMNS) * scale * 1e-10)
     half = (idf[:, None] * product) @ (vectors / np.sqrt(np.maximum(values, scale * 1e-10)))
-    left, _, _ = np.linalg.svd(half, full_matrices=False)
-    return np.vstack([idf[:, None] * left[:, :RANK], np.zeros((1, RANK))]).astype(np.float32)
+    left, roots, _ = np.linalg.svd(half, full_matrices=False)
+    vectors = idf[:, None] ** 2 * left[:, :RANK] / np.maximum(roots[:RANK], max(float(roots[0]), 1e-9) * 1e-4)
+    return np.vstack([vectors / max(float(np.abs(vectors).max()), 1e-30), np.zeros((1, RANK))]).astype(np.float32)
 
 
 @dataclass
