@@ -103,7 +103,7 @@ def find_secrets(documents: DataFrame, ledger: DataFrame | None = None, rules: l
     Every row of ``documents`` comes back with all its columns, and blob and spans (start, rank,
     kind, stop in code points, stop exclusive). A null text counts as empty and has no spans. Rows
     with the same text share one scan, whatever their ids; repeated and id-less rows stay. Columns
-    that are called blob or spans already are replaced. Empty tables give empty results.
+    that are called blob or spans already are replaced (``redact`` keeps them). Empty tables give empty results.
     """
     new = scan_blobs(documents, ledger, rules, version)
     full = new if ledger is None else ledger.select("blob", "version", "spans").unionByName(new)
@@ -136,7 +136,8 @@ def redact(documents: DataFrame, ledger: DataFrame | None = None, mark: str = "[
 
     Overlapping spans are replaced by one mark. Rows without secrets, and null texts, stay as they are.
     """
-    found, _ = find_secrets(documents, ledger)
+    bare = documents.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("text"))  # no name can clash
+    found, _ = find_secrets(bare, ledger)
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
@@ -148,9 +149,10 @@ def redact(documents: DataFrame, ledger: DataFrame | None = None, mark: str = "[
         "spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))),
     )
-    changed = F.size("spans") > 0
-    out = found.withColumn("text", F.when(changed, kept).otherwise(F.col("text")))
+    out = found.select("row", F.when(F.size("spans") > 0, kept).alias("clean"))
+    row, clean = F.col("row"), F.col("clean")
+    new = {c: row[c] for c in documents.columns} | {"text": F.coalesce(clean, row["text"])}
     if "n_chars" in documents.columns:
-        n = documents.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast(n)).otherwise(F.col("n_chars")))
-    return out.select(*documents.columns)
+        length = F.char_length(clean).cast(documents.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(clean.isNotNull(), length).otherwise(row["n_chars"])
+    return out.select(*(c.alias(n) for n, c in new.items()))
