@@ -9,10 +9,14 @@ by rank within their class, which is a join with the bounded table of places.
 
 from __future__ import annotations
 
+import array
+import json
 import os
 import re
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -35,38 +39,79 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Fixed value: how byte-level BPE cuts a text before merging.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The tokenizer's ids by their bytes, if its merges come in the order of the ids they make and cut as PIECES; else None.
+
+    Then the lowest id among neighbours is the first merge, so an encoder by ranks gives the same ids.
+    """
+    model = json.loads(Path(path).read_text(encoding="utf-8"))
+    before, vocabulary, merges = model.get("pre_tokenizer") or {}, model["model"]["vocab"], model["model"].get("merges", [])
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not model.get("normalizer")
+    if not plain or model["model"].get("ignore_merges") or model["model"].get("dropout"):
+        return None
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+    made = [vocabulary.get(a + b) for a, b in pairs]
+    if None in made or any(y <= x for x, y in zip(made, made[1:])):
+        return None
+    # Printable bytes stand for themselves, the others for the characters from 256 on.
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
+    other = [b for b in range(256) if b not in set(own)]
+    byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
+    special = {t["content"] for t in model.get("added_tokens", [])}
+    words = [w for w in vocabulary if w not in special]
+    return {bytes(byte[c] for c in w): vocabulary[w] for w in words} if all(c in byte for w in words for c in w) else None
+
+
 class Encoder:
-    """Token ids as little-endian bytes. Space-led words are encoded once: byte-level BPE never joins over such a space."""
+    """Token ids as little-endian bytes. Words with the space before them are encoded apart: byte-level BPE never joins over such a space.
 
-    def __init__(self, path: str, most: int = 400_000):
+    Short words are encoded once. Texts in which white space meets a space, or with special tokens, go to the tokenizer whole.
+    """
+
+    def __init__(self, path: str, most: int = 400_000, longest: int = 16):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
         self.words: dict[str, bytes] = {}
+        ranks = byte_ranks(path)
+        if ranks is not None:
+            import tiktoken
+
+            self.ranked = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        else:
+            self.ranked = None
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        ids = self.ranked.encode_ordinary(word)
+        out = array.array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        if len(word) <= self.longest:
+            self.words[word] = out.tobytes()
+        return out.tobytes()
+
     def batch(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        new: set[str] = set()
+        out: list[bytes | None] = []
         if len(self.words) > self.most:
             self.words.clear()
+        known, encode = self.words.get, self._word
         for t in texts:
-            if _SPACES.search(t) or _SPECIAL.search(t):
-                split.append(None)
+            if self.ranked is None or _SPACES.search(t) or _SPECIAL.search(t):
+                out.append(None)
                 continue
             first, *rest = t.split(" ")
-            parts = [" " + x for x in rest]
-            if first:
-                parts.insert(0, first)
-            split.append(parts)
-            new.update(p for p in parts if p not in self.words)
-        missing = list(new)
-        self.words.update(zip(missing, self._plain(missing)))
-        whole = iter(self._plain([t for t, parts in zip(texts, split) if parts is None]))
-        return [next(whole) if parts is None else b"".join([self.words[p] for p in parts]) for parts in split]
+            parts = [known(w) or encode(w) for w in [" " + x for x in rest]]
+            out.append((encode(first) if first else b"") + b"".join(parts))
+        whole = iter(self._plain([t for t, x in zip(texts, out) if x is None]))
+        return [next(whole) if x is None else x for x in out]
 
 
 def cut_points(n: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
