@@ -26,23 +26,23 @@ def without_noise(motifs: DataFrame, keys: list[str], reach: int = 3) -> DataFra
     return noisy.withColumn("_clean", some_clean).where(~F.col("_noisy") | ~F.col("_clean")).drop("_noisy", "_clean")
 
 
-def specialises(child: Column, child_position: Column, parent: Column, parent_position: Column) -> Column:
+def contains(child: Column, parent: Column) -> Column:
     @F.pandas_udf("boolean")
-    def test(a: pd.Series, i: pd.Series, b: pd.Series, j: pd.Series) -> pd.Series:
-        return pd.Series([Motif.read(x, int(k)).specialises(Motif.read(y, int(n))) for x, k, y, n in zip(a, i, b, j)], dtype=bool)
+    def test(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([Motif.read(x, 0).contains(Motif.read(y, 0)) for x, y in zip(a, b)], dtype=bool)
 
-    return test(child, child_position, parent, parent_position)
+    return test(child, parent)
 
 
 def sub_motif_pairs(motifs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, parent, child) with their positions and models: pairs inside a group's motif set, a few dozen motifs each.
 
-    Pairs are narrowed to those of longer child and shorter parent before the alignment is looked at.
+    A child contains its parent at some shift. Equal motifs are no pair.
     """
     fields = ["motif", "mod_position", "alpha", "beta"]
     side = lambda name: motifs.select(*keys, *(F.col(c).alias(f"{name}_{c}") for c in fields))
-    pairs = side("parent").join(side("child"), keys).where(F.length("child_motif") >= F.length("parent_motif"))
-    return pairs.where(specialises(F.col("child_motif"), F.col("child_mod_position"), F.col("parent_motif"), F.col("parent_mod_position")))
+    pairs = side("parent").join(side("child"), keys).where(F.col("child_motif") != F.col("parent_motif"))
+    return pairs.where(contains(F.col("child_motif"), F.col("parent_motif")))
 
 
 def without_sub_motifs(motifs: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
@@ -55,7 +55,7 @@ def without_sub_motifs(motifs: DataFrame, keys: list[str], threshold: float = 0.
 
 
 def without_children(motifs: DataFrame, keys: list[str]) -> DataFrame:
-    """Without motifs that specialise another one of their group."""
+    """Without motifs that contain another one of their group."""
     gone = sub_motif_pairs(motifs, keys).select(*keys, F.col("child_motif").alias("motif"), F.col("child_mod_position").alias("mod_position")).distinct()
     return motifs.join(gone, [*keys, "motif", "mod_position"], "left_anti")
 

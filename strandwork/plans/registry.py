@@ -277,7 +277,7 @@ def q_complement_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {KMERS.format(k=3)}, v_2 as (select distinct reference, substr(motif_iupac, 1, 2) as motif from v_k)
-  select p.reference, p.motif as parent_motif, c.motif_iupac as child_motif from v_2 p join v_k c on p.reference = c.reference and starts_with(c.motif_iupac, p.motif)""")
+  select p.reference, p.motif as parent_motif, c.motif_iupac as child_motif from v_2 p join v_k c on p.reference = c.reference and contains(c.motif_iupac, p.motif)""")
 def q_submotif_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     three = _kmers(spark, sf_dir, 3).select("reference", F.col("motif_iupac").alias("motif"))
     two = three.select("reference", F.substring("motif", 1, 2).alias("motif")).distinct()
