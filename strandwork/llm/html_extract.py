@@ -16,11 +16,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, small_batches
+from .common import cut, in_arrow, small_batches
 from .url_filter import host_and_path
 
 #: A subtree is template if it is on at least so many different pages of its host, and on this share of them.
 LEAST_PAGES, SHARE = 5, 0.5
+#: Hosts' template hashes that are broadcast at most (a few MB).
+MOST_BROADCAST = 300_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>?", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -232,7 +234,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     small_batches(pages.sparkSession, 500)
     own = pages.select("page_id", "url", "html", host_and_path(F.col("url"))[0].alias("host"))
-    with_template = own.join(templates(pages), "host", "left").select("page_id", "url", "html", "template")
+    known = cut(templates(pages))
+    # Few hosts with few hashes go to all tasks, so that the pages stay where they are; else both sides meet by host.
+    few = known.agg(F.coalesce(F.sum(F.size("template") + 4), F.lit(0))).first()[0] <= MOST_BROADCAST
+    with_template = own.join(F.broadcast(known) if few else known, "host", "left").select("page_id", "url", "html", "template")
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
