@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import logging
+import random
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -158,7 +159,8 @@ def link_command(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFra
 
 def check_installation(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """Discovery on a made-up genome whose GATC sites are methylated."""
-    seq = "".join("ACGT"[(i * i * 7 + i // 3 + (i >> 5)) % 4] + ("GATC" if i % 40 == 0 else "") for i in range(8000))
+    rng = random.Random(args.seed)
+    seq = "".join(rng.choice("ACGT") for _ in range(40_000))
     assembly = spark.createDataFrame([("c1", seq)], "contig string, seq string")
     sites = {i + 1 for i in range(len(seq) - 3) if seq[i : i + 4] == "GATC"}
     rows = [("c1", i, "a", "+", 0.95 if i in sites else 0.02, 30) for i, b in enumerate(seq) if b == "A"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .constants import PRIOR
@@ -16,17 +16,11 @@ _SERIES = (1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132)
 
 def digamma(x):
     """By recurrence to x + 6 and the asymptotic series; for numbers, arrays and Columns of positive values."""
-    shift, y = 0.0, x
-    for _ in range(6):
-        shift = shift + 1.0 / y
-        y = y + 1.0
-    log = F.log(y) if isinstance(y, Column) else np.log(y)
-    out, power = log - 0.5 / y, 1.0 / (y * y)
-    term = power
-    for c in _SERIES:
-        out = out - c * term
-        term = term * power
-    return out - shift
+    y = x + 6.0
+    shift = sum(1.0 / (x + float(i)) for i in range(6))
+    if isinstance(y, Column):
+        return F.log(y) - 0.5 / y - sum(F.lit(c) / F.pow(y, F.lit(2.0 * i + 2)) for i, c in enumerate(_SERIES)) - shift
+    return np.log(y) - 0.5 / y - sum(c / y ** (2 * i + 2) for i, c in enumerate(_SERIES)) - shift
 
 
 def digamma_sql(x: str) -> str:
@@ -45,27 +39,36 @@ def variance(alpha, beta):
     return alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1.0))
 
 
-def expected_log_likelihood(alpha, beta, positives, negatives):
+def expected_log_likelihood(alpha: float, beta: float, positives: float, negatives: float) -> float:
     """Expected log likelihood of the observations under the posterior."""
     total = digamma(alpha + beta)
     return positives * (digamma(alpha) - total) + negatives * (digamma(beta) - total)
 
 
-def per_observation(alpha, beta, positives, negatives):
+def per_observation(alpha: float, beta: float, positives: float, negatives: float) -> float:
     n = positives + negatives
-    value = expected_log_likelihood(alpha, beta, positives, negatives)
-    if isinstance(value, Column):
-        return F.when(n > 0, value / n).otherwise(0.0)
-    return value / n if n > 0 else 0.0
+    return expected_log_likelihood(alpha, beta, positives, negatives) / n if n > 0 else 0.0
 
 
-def predictive_score(next_alpha, next_beta, alpha, beta):
+def predictive_score(next_alpha: float, next_beta: float, alpha: float, beta: float) -> float:
     """How much better the narrower model predicts itself than it predicts what the wider one has besides, scaled by the ratio of means."""
     own = per_observation(next_alpha, next_beta, next_alpha, next_beta)
     rest = per_observation(next_alpha, next_beta, alpha - next_alpha, beta - next_beta)
     return mean(next_alpha, next_beta) / mean(alpha, beta) * (own - rest)
 
 
+def with_predictive_score(df: DataFrame, next_alpha: str, next_beta: str, alpha: str, beta: str, out: str = "score") -> DataFrame:
+    """``df`` with the same score as column ``out``; the digammas are columns of their own, so that each is computed once."""
+    n = df.withColumns({"_a": F.col(next_alpha).cast("double"), "_b": F.col(next_beta).cast("double")})
+    n = n.withColumns({"_ea": F.col(alpha) - F.col("_a"), "_eb": F.col(beta) - F.col("_b"), "_n": F.col("_a") + F.col("_b")})
+    n = n.withColumns({"_up": digamma(F.col("_a")), "_down": digamma(F.col("_b")), "_all": digamma(F.col("_n"))})
+    likelihood = lambda p, q: p * (F.col("_up") - F.col("_all")) + q * (F.col("_down") - F.col("_all"))
+    a, b, ea, eb = (F.col(c) for c in ("_a", "_b", "_ea", "_eb"))
+    rest = F.when(ea + eb > 0, likelihood(ea, eb) / (ea + eb)).otherwise(0.0)
+    score = mean(a, b) / mean(F.col(alpha), F.col(beta)) * (likelihood(a, b) / F.col("_n") - rest)
+    return n.withColumn(out, score).drop("_a", "_b", "_ea", "_eb", "_n", "_up", "_down", "_all")
+
+
 def predictive_score_sql(na: str, nb: str, a: str, b: str) -> str:
     """The same score as SQL text over column names."""
     total = digamma_sql(f"({na} + {nb})")

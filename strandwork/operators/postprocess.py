@@ -48,8 +48,8 @@ def sub_motif_pairs(motifs: DataFrame, keys: list[str]) -> DataFrame:
 def without_sub_motifs(motifs: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
     """Of each parent and child one goes: the parent if the child predicts itself better by ``threshold``, else the child. All pairs are judged on the whole set."""
     pairs = sub_motif_pairs(motifs, keys)
-    score = stats.predictive_score(*(F.col(c).cast("double") for c in ("child_alpha", "child_beta", "parent_alpha", "parent_beta")))
-    gone = pairs.select(*keys, F.when(score > threshold, F.struct(F.col("parent_motif").alias("m"), F.col("parent_mod_position").alias("p"))).otherwise(F.struct(F.col("child_motif").alias("m"), F.col("child_mod_position").alias("p"))).alias("x"))
+    scored = stats.with_predictive_score(pairs, "child_alpha", "child_beta", "parent_alpha", "parent_beta", "_score")
+    gone = scored.select(*keys, F.when(F.col("_score") > threshold, F.struct(F.col("parent_motif").alias("m"), F.col("parent_mod_position").alias("p"))).otherwise(F.struct(F.col("child_motif").alias("m"), F.col("child_mod_position").alias("p"))).alias("x"))
     gone = gone.select(*keys, F.col("x.m").alias("motif"), F.col("x.p").alias("mod_position")).distinct()
     return motifs.join(gone, [*keys, "motif", "mod_position"], "left_anti")
 

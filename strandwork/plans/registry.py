@@ -154,7 +154,7 @@ def q_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = pileup.motif_counts(pileup.covered(v.adenine_pileup(spark, sf_dir)), _hits(spark, sf_dir), ["bin"])
     n = counted.where("motif = 'GATC'").select("bin", F.col("alpha").alias("na"), F.col("beta").alias("nb"))
     c = counted.where("motif = 'GA.C'").select("bin", F.col("alpha").alias("ca"), F.col("beta").alias("cb"))
-    return n.join(c, "bin").select("bin", (F.round(stats.predictive_score(*map(F.col, ("na", "nb", "ca", "cb"))), 8) + 0.0).alias("score"))
+    return stats.with_predictive_score(n.join(c, "bin"), "na", "nb", "ca", "cb").select("bin", (F.round("score", 8) + 0.0).alias("score"))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
