@@ -11,6 +11,7 @@ from .decontam import leaks
 from .html_extract import extract
 from .jaccard_join import jaccard_classes
 from .licenses import scan_licenses
+from .oracles import OP5, OP6
 from .packing import pack
 from .secrets import secret_digest
 from .sentence_spans import drop_repeated_spans
@@ -75,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {op5_url_verdicts.__name__: OP5, op6_secret_ledger.__name__: OP6}
