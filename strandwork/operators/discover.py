@@ -93,7 +93,10 @@ def background_windows(pileup: DataFrame, assembly: DataFrame, settings: Setting
 
 
 def encoded(windows: pd.Series, width: int) -> np.ndarray:
-    return _CODE[np.frombuffer("".join(windows).encode(), np.uint8)].reshape(-1, width) if len(windows) else np.zeros((0, width), np.uint8)
+    """Base masks by window and place, laid out by place: the search reads whole columns."""
+    if not len(windows):
+        return np.zeros((0, width), np.uint8)
+    return np.asfortranarray(_CODE[np.frombuffer("".join(windows).encode(), np.uint8)].reshape(-1, width))
 
 
 def frequencies(windows: np.ndarray) -> np.ndarray:
@@ -216,7 +219,7 @@ class Search:
             else:
                 found = pruned
                 self.scores[found] = max(score, self.scores.get(found, -math.inf))
-            windows = windows[keep]
+            windows = np.asfortranarray(windows[keep])
             if not len(windows):
                 break
             if self.scores[found] < s.score:
@@ -258,7 +261,7 @@ def discover_group(pdf: pd.DataFrame, settings: Settings) -> pd.DataFrame:
     """Motifs of one (bin, mod_type) from its windows."""
     columns = ["reference", "mod_type", "motif", "mod_position", "alpha", "beta", "score"]
     width = 2 * settings.padding + 1
-    parts = {s: encoded(pdf.loc[pdf.state == s, "window"].sort_values(), width) for s in (1, 0, -1)}
+    parts = {s: encoded(pdf.loc[pdf.state == s, "window"], width) for s in (1, 0, -1)}
     reference, mod_type = pdf["bin"].iloc[0], pdf["mod_type"].iloc[0]
     if not len(parts[1]) or not len(parts[-1]):
         return pd.DataFrame(columns=columns)
