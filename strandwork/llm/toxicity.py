@@ -123,30 +123,43 @@ def votes(text: str | None, lookup: _Lookup, lexicon: dict[int, int]) -> int:
     return mask
 
 
-def mine(rows: list[tuple[set[str], int]]) -> tuple[dict[str, int], dict[int, int]]:
-    """Features that tell labelled classes apart, and the lexicons that toxic ones are dealt to.
+def mined(sample: DataFrame) -> tuple[dict[str, int], dict[int, int]]:
+    """Features that tell the labelled rows' classes apart, and the lexicons that toxic ones are dealt to.
 
-    Ranked by the likelihood-ratio statistic of document frequencies; a lexicon's features occur
-    with toxic labels at least three times as often as the class balance would have it, in four texts or more.
+    Document frequencies are counted in Spark and ranked by the likelihood-ratio statistic; the driver
+    gets MOST_FEATURES of them. A lexicon's features occur with toxic labels at least three times as
+    often as the class balance would have it, in four texts or more.
     """
-    frequency = (Counter(), Counter())
-    total = [0, 0]
-    for words, y in rows:
-        total[y] += 1
-        frequency[y].update({f for w in words for f in features(w)})
-    if not all(total):
+
+    def counts():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n[min(y, 1)].update({f for w in distinct_words(text) for f in features(w)} | {""})
+            keys = list(n[0].keys() | n[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in n)], ["feature", "b", "a"])
+
+        return one
+
+    counted = in_arrow(sample.where("y is not null").select("text", "y"), counts, "feature string, b long, a long")
+    counted = cut(counted.groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a + b >= 4 or feature = ''"))
+    total = counted.where("feature = ''").first()  # every text has the empty feature
+    if total is None or not total.a or not total.b:
+        discard(counted)
         names = {w: i for i, w in enumerate(sorted(BASE_LEXICON))}
         return names, {i: i % LEXICONS for i in names.values()}
-    common = [f for f in frequency[0].keys() | frequency[1].keys() if frequency[0][f] + frequency[1][f] >= 4]
-    a = np.array([frequency[1][f] for f in common], float)
-    b = np.array([frequency[0][f] for f in common], float)
-    n1, n0 = total[1], total[0]
+    n1, n0 = float(total.a), float(total.b)
+
+    def log(k: Column, n: float, q: Column) -> Column:
+        return k * F.log(F.greatest(q, F.lit(1e-12))) + (n - k) * F.log(F.greatest(1 - q, F.lit(1e-12)))
+
+    a, b = F.col("a"), F.col("b")
     p = (a + b) / (n1 + n0)
-    log = lambda k, n, q: k * np.log(np.maximum(q, 1e-12)) + (n - k) * np.log(np.maximum(1 - q, 1e-12))
     g = 2 * (log(a, n1, a / n1) + log(b, n0, b / n0) - log(a, n1, p) - log(b, n0, p))
-    order = sorted(np.flatnonzero(g > 12), key=lambda i: (-g[i], common[i]))[:MOST_FEATURES]
-    names = {common[i]: k for k, i in enumerate(order)}
-    toxic = [k for k, i in enumerate(order) if a[i] >= 4 and a[i] / n1 >= 3 * b[i] / n0 and a[i] >= b[i]]
+    best = counted.where("feature <> ''").withColumn("g", F.round(g, 6)).where("g > 12").orderBy(F.desc("g"), "feature").limit(MOST_FEATURES).collect()
+    discard(counted)
+    names = {r.feature: k for k, r in enumerate(best)}
+    toxic = [k for k, r in enumerate(best) if r.a >= 4 and r.a / n1 >= 3 * r.b / n0 and r.a >= r.b]
     return names, {k: j % LEXICONS for j, k in enumerate(toxic)}
 
 
@@ -211,17 +224,16 @@ def _tree(soft: np.ndarray) -> list[int]:
     return parents
 
 
-def fit_linear(places: list[np.ndarray], target: np.ndarray, width: int, ridge: float = 5e-5, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression of soft targets on sets of features, by Adam over all rows."""
-    flat = np.concatenate(places).astype(np.int64) if places else np.zeros(0, np.int64)
-    lengths = np.array([len(p) for p in places])
-    owner = np.repeat(np.arange(len(places)), lengths)
+def fit_linear(flat: np.ndarray, lengths: np.ndarray, target: np.ndarray, width: int, ridge: float = 5e-5, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Logistic regression of soft targets on sets of features, laid end to end with their lengths, by Adam over all rows."""
+    rows = len(lengths)
+    owner = np.repeat(np.arange(rows), lengths)
     w, b = np.zeros(width), -2.0
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, rounds + 1):
-        z = b + np.bincount(owner, weights=w[flat], minlength=len(places))
+        z = b + np.bincount(owner, weights=w[flat], minlength=rows)
         residual = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target
-        g = np.append(np.bincount(flat, weights=residual[owner], minlength=width) / len(places) + ridge * w, residual.mean())
+        g = np.append(np.bincount(flat, weights=residual[owner], minlength=width) / rows + ridge * w, residual.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
@@ -248,15 +260,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     small_batches(documents.sparkSession)
     sample = cut(_training_rows(documents, labels))
 
-    def words_of():
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [sorted(distinct_words(t)) for t in batch.column(0).to_pylist()]
-            return pa.RecordBatch.from_arrays([pa.array([" ".join(s) for s in sets]), batch.column(1)], ["words", "y"])
-
-        return one
-
-    known = in_arrow(sample.where("y is not null"), words_of, "words string, y int").toLocalIterator()
-    names, lexicon = mine([(r.words.split(), min(r.y, 1)) for r in known])
+    names, lexicon = mined(sample)
 
     def count_masks():
         lookup = _Lookup(names)
@@ -280,21 +284,21 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
             texts = batch.column(0).to_pylist()
             found = [active(distinct_words(t), lookup, lexicon) for t in texts]
             return pa.RecordBatch.from_arrays(
-                [pa.array([votes(t, lookup, lexicon) for t in texts], pa.int32()), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["mask", "y", "places"]
+                [batch.column(2), pa.array([votes(t, lookup, lexicon) for t in texts], pa.int32()), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["key", "mask", "y", "places"]
             )
 
         return one
 
-    rows = in_arrow(sample, masks_of, "mask int, y int, places array<int>").collect()  # bounded by the sample
+    keyed = sample.select("text", "y", F.xxhash64("text"))
+    rows = in_arrow(keyed, masks_of, "key long, mask int, y int, places array<int>").toArrow().sort_by([("key", "ascending"), ("y", "ascending")])  # bounded by the sample
     discard(sample)
-    labelled = np.zeros((2, 1 << M))
-    for r in rows:
-        if r.y is not None:
-            labelled[min(r.y, 1), r.mask] += 1
+    masks, y = rows.column("mask").to_numpy(), rows.column("y").fill_null(-1).to_numpy()
+    labelled = np.stack([np.bincount(masks[y == 0], minlength=1 << M), np.bincount(masks[y >= 1], minlength=1 << M)]).astype(float)
     posterior, balance, table, parents = label_model(all_masks, labelled)
-    rows.sort(key=lambda r: (r.mask, r.places))
-    target = posterior[[r.mask for r in rows]] if rows else np.zeros(0)
-    weights, bias = fit_linear([np.array(r.places, int) for r in rows], target, len(names) + EXTRA) if rows else (np.zeros(len(names) + EXTRA), -2.0)
+    weights, bias = np.zeros(len(names) + EXTRA), -2.0
+    if rows.num_rows:
+        lists = rows.column("places").combine_chunks()
+        weights, bias = fit_linear(lists.flatten().to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy()), posterior[masks], len(names) + EXTRA)
     return Model(names, lexicon, weights, bias, balance, table, parents)
 
 
