@@ -123,7 +123,8 @@ def _logical_with_diff() -> list:
 def _contamination(spark: SparkSession, args: argparse.Namespace, methylation: DataFrame, bins: DataFrame, assembly: DataFrame) -> DataFrame:
     if args.contamination_file:
         return tables.read_contamination(spark, args.contamination_file)
-    out = binning.detect_contamination(methylation, bins, fasta.contig_lengths(assembly), args.num_consensus)
+    make = lambda: binning.detect_contamination(methylation, bins, fasta.contig_lengths(assembly), args.num_consensus)
+    out = tables.cached(spark, f"{args.out}/bin_contamination.parquet", make, force=True)  # read back, not made again
     tables.write_tsv(out, f"{args.out}/bin_contamination.tsv")
     return out
 

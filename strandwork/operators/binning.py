@@ -111,6 +111,7 @@ def classifier_labels(binned: DataFrame, free: DataFrame, trees: int = 100, seed
     """
     names = sorted(c for c in binned.columns if c not in ("contig", "bin"))
     train = binned.orderBy("contig").toPandas()  # one assembly's binned contigs by its motifs
+    binned = binned.sparkSession.createDataFrame(train)  # made once: the forest reads it many times
     scores, mean, axes = cluster.pca(train[names].to_numpy(float))
     y = train["bin"].to_numpy(str)
 

@@ -178,6 +178,7 @@ def test_contamination_and_inclusion(spark):
     found = binning.detect_contamination(methylation, bins, lengths, neighbours=4)
     rows = found.collect()
     assert len(rows) == 4 and {r.contig for r in rows} == {"contig_3"}
+    found = spark.createDataFrame(rows, found.schema)  # as the command line does: read back, not made again
     placed = binning.include_contigs(methylation, bins, found, 0.5).collect()
     assert {(r.contig, r.assigned_bin) for r in placed} == {("contig_3", "bin2")} and len(placed) == 3
     new = binning.new_contig_bins(bins, found, spark.createDataFrame(placed))
