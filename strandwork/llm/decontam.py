@@ -4,8 +4,10 @@ Passages of the corpus are rows of a hashed TF-IDF matrix. One pass sums its ran
 T the term counts and O a random test matrix, T'T O (terms by a few dozen columns) and the document
 frequencies. Frequencies rescale rows and test matrix afterwards, so that pass is enough for the
 leading right singular vectors of the weighted matrix. A second pass embeds all windows of all texts
-(sums of term vectors) and compares them with the benchmark's items, a stated query set; windows near
-an item are confirmed by the longest common subsequence and the item's answer.
+(sums of term vectors) and compares them with windows over the whole of each of the benchmark's items, a
+stated query set; windows near an item are confirmed by the longest common subsequence and the item's
+answer. No gate on a likeness in few dimensions can be sure of that, so stretches are also searched by
+the number of an item's words in them, which the common subsequence can't exceed: that loses none.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ TERMS, RANK, COLUMNS, PASSAGE = 4096, 64, 72, 32
 WINDOWS = (12, 24, 48)  # each twice the one before, and four strides of a multiple of three words
 LEAST_ITEM = 8
 COSINE, SHORT_COSINE, SAME, ALIKE, ANSWER = 0.75, 0.65, 0.75, 0.6, 0.8
+STEP, STRETCH, BLOCK = WINDOWS[0] // 4, 6, 256  # words in a step, and between the starts of counted stretches; items counted at a time
+COMMON = 0.1  # occurrences of a common term in a stretch, for each in the item
 _SLICE = 60_000  # tokens at a time
 #: Letters, digits, the low line and all characters beyond ASCII make words.
 _TABLE = bytes(b if b >= 0x80 or chr(b).isalnum() or b == 0x5F else 0x20 for b in range(256))
@@ -132,6 +136,21 @@ class Item:
     answer_masks: dict[bytes, int]
     window: int
 
+    @property
+    def reach(self) -> int:
+        """Words in a passage that is held against the item."""
+        return len(self.words) + 2 * max(4, len(self.words) // 4)
+
+    @property
+    def least(self) -> int:
+        """Words of the item that a leak has in order, at least."""
+        return math.ceil(ALIKE * len(self.words) - 1e-9)
+
+    def offsets(self) -> list[int]:
+        """Starts of the query windows: half a window apart, and the last one ends with the item."""
+        last = max(0, len(self.words) - self.window)
+        return sorted({*range(0, last, self.window // 2), last})
+
 
 def _masks(words: list[bytes]) -> dict[bytes, int]:
     out: dict[bytes, int] = {}
@@ -164,6 +183,95 @@ def benchmark_items(benchmark: DataFrame) -> list[Item]:
     return out
 
 
+class WordCounts:
+    """Stretches that may hold an item: as many of its words, and as many of them in order, as a leak has.
+
+    A stretch starts at every STRETCH-th word and is long enough for all passages that start before the
+    next one. Words are told apart by hashed term and repeated words count again, so a count is never
+    too low; nor is the common subsequence of terms, which is held against the item's first 64 words and,
+    of a longer item, all others counted as found. Terms that are common in the first texts aren't
+    counted but taken as found: that changes how many stretches are looked at, and never the result.
+    """
+
+    def __init__(self, items: list[Item], columns: TermColumns):
+        self.items, self.blocks = items, []
+        self.places = [columns.of(i.words) for i in items]
+        self.words = np.array([i.reach + STRETCH - 1 for i in items])
+        self.full = np.array([(1 << min(64, len(i.words))) - 1 for i in items], np.uint64)
+        self.slack = np.array([len(i.words) - i.least for i in items])
+
+    def _build(self, tokens: np.ndarray) -> None:
+        items = self.items
+        share = np.bincount(tokens, minlength=TERMS + 1)[:TERMS] / max(1, np.count_nonzero(tokens != TERMS))
+        steps = -(-self.words // STRETCH)
+        steps += steps % 2
+        order = np.argsort(self.words, kind="stable")
+        for a in range(0, len(items), BLOCK):
+            at = order[a : a + BLOCK]
+            m = steps[at]
+            least = np.array([items[k].least for k in at])
+            own = np.zeros((TERMS + 1, len(at)), np.uint8 if m[-1] * STRETCH < 256 else np.uint32)
+            masks = np.zeros((len(at), TERMS + 1), np.uint64)
+            for c, k in enumerate(at.tolist()):
+                for i, term in enumerate(self.places[k][:64].tolist()):
+                    masks[c, term] |= np.uint64(1 << i)
+                terms, times = np.unique(self.places[k], return_counts=True)
+                own[terms, c] = 1
+                for i in np.argsort(-share[terms] / times).tolist():
+                    if share[terms[i]] * self.words[k] < COMMON * times[i] or least[c] - times[i] < 3:
+                        break
+                    own[terms[i], c] = 0
+                    least[c] -= times[i]
+            edges = [0, *(np.flatnonzero(np.diff(m)) + 1).tolist(), len(at)]
+            self.blocks.append((at, own, masks.ravel(), [(x, y, int(m[x]), least[x:y].astype(own.dtype)) for x, y in zip(edges, edges[1:])]))
+
+    def near(self, tokens: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(place, item) of all stretches that have enough of the item's words in order."""
+        if not self.blocks:
+            self._build(tokens)
+        n = len(tokens) // STRETCH
+        for at, own, masks, groups in self.blocks:
+            most = groups[-1][2]
+            sums = [np.zeros((n + most, len(at)), own.dtype)]
+            for i in range(STRETCH):
+                sums[0][:n] += own.take(tokens[i::STRETCH], 0)
+            while 2 << len(sums) - 1 <= most:
+                half = 1 << len(sums) - 1
+                sums.append(sums[-1][:-half] + sums[-1][half:])
+            enough = np.empty((n, len(at)), bool)
+            for x, y, m, least in groups:
+                parts, done = [], 0
+                for bit in range(m.bit_length()):
+                    if m >> bit & 1:
+                        parts.append(sums[bit][done : done + n, x:y])
+                        done += 1 << bit
+                total = parts[0]
+                for part in parts[1:]:
+                    total = total + part
+                np.greater_equal(total, least, out=enough[:, x:y])
+            flat = np.flatnonzero(enough)
+            rows, cols = flat // len(at), flat % len(at)
+            by = np.argsort(cols, kind="stable")
+            items, places = at[cols[by]], rows[by] * STRETCH
+            inside = self._in_order(cols[by], items, masks, tokens, places)
+            yield from zip(places[inside].tolist(), items[inside].tolist())
+
+    def _in_order(self, cols: np.ndarray, items: np.ndarray, masks: np.ndarray, tokens: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Which stretches, by the width of their items, share a long enough subsequence of terms: bit-parallel over all of them."""
+        if not len(places):
+            return np.zeros(0, bool)
+        widths = self.words[items]
+        padded = np.concatenate([tokens, np.full(widths[-1], TERMS, np.int32)])
+        full = self.full[items]
+        v, base = full.copy(), cols * (TERMS + 1)
+        for i in range(widths[-1]):
+            a = int(np.searchsorted(widths, i, "right"))
+            here = v[a:]
+            u = here & masks[base[a:] + padded[places[a:] + i]]
+            v[a:] = ((here + u) | (here - u)) & full[a:]
+        return np.bitwise_count(v) <= self.slack[items]
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Per document and item that leaks into it: doc_id, item_id, cosine, lcs.
 
@@ -171,8 +279,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame, cosine: float = COSINE) ->
     A passage leaks the item if lcs is SAME or more, or ALIKE or more with ANSWER or more of the answer's
     words in order. cosine is the latent likeness of the confirmed window.
 
-    Whole texts are searched, in windows of about the item's length at every quarter of it; texts
-    shorter than a window count as one. Null and empty texts leak nothing; items of fewer than eight
+    A passage is any stretch of the item's words and a quarter (or four words) more on either side.
+    Whole texts are searched, and every such passage is held against every item that it has enough words
+    of, whatever its latent likeness; cosine is then the highest of the passage's windows. Null and empty texts leak nothing; items of fewer than eight
     words aren't searched for. Repeated rows of documents or items give repeated results. An empty table on
     either side gives an empty result; further columns are ignored.
     """
@@ -190,37 +299,56 @@ def leaks(documents: DataFrame, benchmark: DataFrame, cosine: float = COSINE) ->
         columns = TermColumns()
         queries = {}
         for w in sorted({i.window for i in items}):
-            own = [i for i in items if i.window == w]
-            q = np.stack([terms[columns.of(i.words[:w])].sum(0) for i in own])
-            least = np.array([cosine if len(i.words) >= w else min(cosine, SHORT_COSINE) for i in own], np.float32)
+            own = [(k, o) for k, i in enumerate(items) if i.window == w for o in i.offsets()]
+            q = np.stack([terms[columns.of(items[k].words[o : o + w])].sum(0) for k, o in own])
+            least = np.array([cosine if len(items[k].words) >= w else min(cosine, SHORT_COSINE) for k, _ in own], np.float32)
             queries[w] = own, (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).T.astype(np.float32), least
+        counts = WordCounts(items, columns)
         for batch in batches:
             ids, texts = batch.columns
             texts = texts.to_pylist()
             out: list[tuple] = []
             for tokens, starts, first in _streams([columns.of(words_of(t)) for t in texts], WINDOWS[-1], WINDOWS[-1]):
-                found: dict[tuple[int, int], tuple[float, float]] = {}
+                found: set[tuple[int, int]] = set()
                 cut: dict[int, list[bytes]] = {}
-                steps = terms[tokens].reshape(-1, WINDOWS[0] // 4, RANK).sum(1)
+                likes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+                def words_at(doc: int) -> list[bytes]:
+                    if doc not in cut:
+                        cut[doc] = words_of(texts[first + doc])
+                    return cut[doc]
+
+                steps = terms[tokens].reshape(-1, STEP, RANK).sum(1)
                 for w, (own, q, least) in queries.items():
                     while len(tokens) // len(steps) < w // 4:
                         steps = steps[0::2] + steps[1::2]
                     e = steps[:-3] + steps[1:-2] + steps[2:-1] + steps[3:]
                     norm = np.sqrt(np.einsum("ij,ij->i", e, e))
                     like = e @ q
+                    likes[w] = like, norm
                     near = like >= np.maximum(norm, 1e-6)[:, None] * least
                     (rows,) = np.nonzero(near.any(1))
                     for r in rows.tolist():
                         doc = int(np.searchsorted(starts, r * (w // 4) + w // 8, "right")) - 1
-                        if doc not in cut:
-                            cut[doc] = words_of(texts[first + doc])
-                        for k in np.flatnonzero(near[r]).tolist():
-                            item = own[k]
-                            if (doc, k + 1000 * w) in found:
+                        for c in np.flatnonzero(near[r]).tolist():
+                            k, o = own[c]
+                            if (doc, k) in found:
                                 continue
-                            if (lcs := confirm(item, cut[doc], int(r * (w // 4) - starts[doc]))) is not None:
-                                found[doc, k + 1000 * w] = float(like[r, k] / norm[r]), lcs
-                                out.append((first + doc, item.item_id, *found[doc, k + 1000 * w]))
+                            if (lcs := confirm(items[k], words_at(doc), int(r * (w // 4) - starts[doc]) - o)) is not None:
+                                found.add((doc, k))
+                                out.append((first + doc, items[k].item_id, float(like[r, c] / norm[r]), lcs))
+                for place, k in counts.near(tokens):
+                    doc = int(np.searchsorted(starts, place, "right")) - 1
+                    start = int(place - starts[doc])
+                    if (doc, k) in found or start >= len(words_at(doc)):
+                        continue
+                    item = items[k]
+                    if (lcs := confirm_near(item, words_at(doc), start)) is not None:
+                        like, norm = likes[item.window]
+                        here = slice(place // (item.window // 4), (place + item.reach) // (item.window // 4) + 1)
+                        each = [c for c, (i, _) in enumerate(queries[item.window][0]) if i == k]
+                        found.add((doc, k))
+                        out.append((first + doc, item.item_id, float((like[here][:, each].max(1) / np.maximum(norm[here], 1e-6)).max(initial=-1.0)), lcs))
             at, item, c, lcs = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int32())), pa.array(item, pa.int64()), pa.array(c, pa.float64()), pa.array(lcs, pa.float64())], ["doc_id", "item_id", "cosine", "lcs"])
 
@@ -231,7 +359,21 @@ def confirm(item: Item, words: list[bytes], start: int) -> float | None:
     """The share of the item that the passage around ``start`` has in order, if that makes it a leak."""
     n = len(item.words)
     slack = max(4, n // 4)
-    passage = words[max(0, start - slack) : max(0, start + n + slack)]
+    return _leaked(item, words[max(0, start - slack) : max(0, start + n + slack)])
+
+
+def confirm_near(item: Item, words: list[bytes], start: int) -> float | None:
+    """The same for the passages that start within STRETCH words of ``start``."""
+    if common_subsequence(item.masks, len(item.words), words[start : start + STRETCH - 1 + item.reach]) < item.least:
+        return None
+    for a in range(start, start + STRETCH):
+        if (lcs := _leaked(item, words[a : a + item.reach])) is not None:
+            return lcs
+    return None
+
+
+def _leaked(item: Item, passage: list[bytes]) -> float | None:
+    n = len(item.words)
     lcs = common_subsequence(item.masks, n, passage) / n
     if lcs >= SAME:
         return lcs

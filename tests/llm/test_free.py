@@ -307,6 +307,32 @@ def test_leaks_against_plain_search(spark, make, none):
     assert decontam.leaks(none, benchmark).count() == 0 and decontam.leaks(make(rows[:3]), benchmark.limit(0)).count() == 0
 
 
+def test_leaks_of_any_part_of_an_item(spark, make):
+    """Parts that start behind an item's first words, and changed ones, against the rule for every passage."""
+    rng = random.Random(21)
+    items = [prose(rng, n - 6, 5000) + ". " + prose(rng, 6, 5000) + "." for n in (15, 23, 31, 40, 47, 59, 90, 200, 330)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    queries = decontam.benchmark_items(benchmark)
+    rows = []
+    for i, t in enumerate(items):
+        w = t.split()
+        n = len(w)
+        parts = [w[n // 4 :], w[: -(n // 4)], w[-(n * 5 // 8) :], w[-(n // 2) :]]
+        parts.append([f"x{j}" if j % 5 == 2 and j < n - 6 else x for j, x in enumerate(w)])
+        parts.append([f"x{j}" if j % 3 == 0 and j < n - 6 else x for j, x in enumerate(w)])
+        parts.append([y for j, x in enumerate(w) for y in ([x, "then"] if j % 3 == 0 else [x])])
+        rows += [(i * 10 + k, " ".join([prose(rng, 40 + rng.randrange(9), 5000), *part, prose(rng, 50, 5000)])) for k, part in enumerate(parts)]
+    want = set()
+    for doc, t in rows:
+        words = decontam.words_of(t)
+        for q in queries:
+            if any(decontam._leaked(q, words[a : a + q.reach]) is not None for a in range(len(words))):
+                want.add((doc, q.item_id))
+    assert {(5, 0), (40, 4), (41, 4), (70, 7), (74, 7), (82, 8)} <= want and all((i * 10, i) in want for i in range(len(items)))
+    got = decontam.leaks(make(rows), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+
+
 def test_common_subsequence():
     rng = random.Random(9)
     for _ in range(50):
