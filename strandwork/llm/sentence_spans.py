@@ -1,6 +1,6 @@
 """Substring deduplication by sliding spans of sentences.
 
-Every run of three consecutive sentences is hashed over the whole corpus; a run that has occurred
+Every run of three consecutive sentences, or of as many more as make ten words, is hashed over the whole corpus; a run that has occurred
 before, in the order of documents and places, marks its sentences, and marked sentences go.
 """
 
@@ -49,19 +49,27 @@ def sentences(text: str | None) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def span_ends(units: list[tuple[int, int, int, int]], span: int = SPAN, least: int = LEAST_WORDS) -> np.ndarray:
+    """By first unit, where its run ends: after ``span`` units, or as many more as make ``least`` words. Units without a whole run have none."""
+    w = np.cumsum([0, *(u[3] for u in units)])
+    ends = np.maximum(np.searchsorted(w, w[:-1] + least, "left"), np.arange(len(units)) + span)
+    return ends[: np.searchsorted(ends, len(units), "right")]
+
+
 def spans(units: list[tuple[int, int, int, int]], span: int = SPAN, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(first unit, hash) of every run of ``span`` units with ``least`` words or more."""
-    n = len(units) - span + 1
-    if n < 1:
+    """(first unit, hash) of every run of ``span`` units, or as many more as make ``least`` words."""
+    ends = span_ends(units, span, least)
+    n = len(ends)
+    if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = np.array([u[2] for u in units], np.uint64)
-    w = np.cumsum([0, *(u[3] for u in units)])
+    first = np.arange(n)
     mixed = np.zeros(n, np.uint64)
-    for i in range(span):
-        mixed = (mixed ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    enough = w[span:] - w[:-span] >= least
-    return np.flatnonzero(enough), mixed[enough].view(np.int64)
+    for i in range(int((ends - first).max())):
+        on = first[first + i < ends]
+        m = (mixed[on] ^ h[on + i]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed[on] = m ^ (m >> np.uint64(29))
+    return first, mixed.view(np.int64)
 
 
 def _span_rows(documents: DataFrame, span: int, least: int) -> DataFrame:
@@ -86,14 +94,14 @@ def _span_rows(documents: DataFrame, span: int, least: int) -> DataFrame:
 def drop_repeated_spans(documents: DataFrame, span: int = SPAN, least: int = LEAST_WORDS) -> DataFrame:
     """Per document: doc_id, text without the covered sentences, n_removed, removed.
 
-    A sentence is removed if any run of ``span`` sentences (with ``least`` words or more together)
-    that covers it occurred before: in a document of a lesser doc_id, or earlier in the same one. The
+    A sentence is removed if any run of ``span`` sentences (or of as many more as make ``least`` words
+    together) that covers it occurred before: in a document of a lesser doc_id, or earlier in the same one. The
     first occurrence stays. removed lists the places (start:end in code points, end exclusive) that
     went, comma-joined; white space around a removed sentence stays with its neighbours.
 
     Null texts count as empty and come back empty. Copies of a text lose all their spans but for the
     first; rows with one doc_id are one place in the order, and each loses what an earlier place or
-    document had. Null doc_ids come last. Texts of fewer than ``span`` sentences stay. An empty table
+    document had. Null doc_ids come last. Texts of fewer than ``span`` sentences or ``least`` words stay. An empty table
     gives an empty result; further columns are ignored.
     """
     small_batches(documents.sparkSession)
@@ -111,9 +119,10 @@ def drop_repeated_spans(documents: DataFrame, span: int = SPAN, least: int = LEA
             texts, gone, removed = [], [], []
             for text, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 units = sentences(text) if at else []
-                marks = {i + k for i in at or () for k in range(span)}
+                ends = span_ends(units, span, least).tolist()
+                marks = {k for i in at or () for k in range(i, ends[i])}
                 places, kept, end = [], [], 0
-                for i in sorted(m for m in marks if m < len(units)):
+                for i in sorted(marks):
                     a, b = units[i][:2]
                     kept.append(text[end:a])
                     end = b

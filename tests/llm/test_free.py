@@ -281,6 +281,17 @@ def test_sentence_spans_against_brute_force(make, none):
     assert sentence_spans.drop_repeated_spans(none).count() == 0
 
 
+def test_spans_of_very_short_sentences(make):
+    """Passages whose sentences are one to three words long go as well."""
+    rng = random.Random(16)
+    passage = " ".join(prose(rng, rng.randrange(1, 4)) + rng.choice([".", ",!!", "?"]) for _ in range(60))
+    words = lambda: prose(rng, 9) + "."
+    rows = [(0, passage), (1, passage), (2, " ".join([words(), passage, words()])), (3, "A. B. C. D. E. F. G. H. I."), (4, "A. B. C. D. E. F. G. H. I.")]
+    got = {r.doc_id: r for r in sentence_spans.drop_repeated_spans(make(rows)).collect()}
+    assert got[0].text == passage and got[1].text == "" and len(got[2].text.split()) == 18
+    assert got[3].n_removed == got[4].n_removed == 0
+
+
 # decontamination
 
 
