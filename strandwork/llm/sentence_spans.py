@@ -16,36 +16,73 @@ from pyspark.sql import functions as F
 
 from .common import cut, in_arrow, small_batches
 
-SPAN, LEAST_WORDS, LONGEST = 3, 10, 20
+SPAN, LEAST_WORDS, LONGEST = 3, 10, 8
 #: A sentence ends after its mark and what follows it without space, or at a line's end.
 _END = re.compile(r"[.!?]+[^\s\w]*(?=\s)|\n+")
 _WORD = re.compile(r"\S+")
+_STEPS = (1, 2, 4)  # that double a row up to LONGEST words
+
+
+class WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = WordHashes()
+
+
+def _starts(words: list[str], heads: np.ndarray) -> np.ndarray:
+    """The first words of all units: heads of sentences, and words whose hash with the next is the least of any LONGEST in a row.
+
+    A row that holds a head has no other least, so a sentence of up to LONGEST words isn't cut. Nothing
+    but the LONGEST words on either side of a word decides on it.
+    """
+    n = len(words)
+    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
+    after = np.append(h[1:], np.uint64(0))
+    after[heads[1:] - 1] = 0  # a sentence's last word is taken alone
+    mixed = (h ^ (after << np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+    value = np.zeros(n + 2 * LONGEST, np.uint64)
+    value[LONGEST : LONGEST + n] = (mixed ^ (mixed >> np.uint64(29))) | np.uint64(1)
+    value[LONGEST + heads] = 0
+    least = value
+    for step in _STEPS:
+        least = np.minimum(least[:-step], least[step:])
+    for step in _STEPS:
+        least = np.maximum(least[:-step], least[step:])
+    return np.flatnonzero(least[1 : n + 1] == value[LONGEST : LONGEST + n])
 
 
 def sentences(text: str | None) -> list[tuple[int, int, int, int]]:
     """(start, end, hash, words) of the units of a text, in order.
 
-    A unit is a sentence with the space before it; one of more than LONGEST words is cut after every
-    LONGEST of them, counted from its start, so that unpunctuated text has units too. Words are runs
-    without space; the hash is over them in lower case. Stretches without words are no units, and stay.
+    A unit is a sentence with the space before it; one of more than LONGEST words is cut into units of at
+    most so many, at places that its words choose, so that a passage of over 50 words has the same three
+    units or more wherever it begins. Words are runs without space; the hash is over them in lower case.
+    Stretches without words are no units, and stay.
     """
-    out = []
     text = text or ""
+    words = text.lower().split()
+    if not words:
+        return []
+    starts = [m.start() for m in _WORD.finditer(text)]
     ends = [m.end() for m in _END.finditer(text)]
     ends.append(len(text))
-    a = 0
-    for b in ends:
-        words = text[a:b].split()
-        if len(words) > LONGEST:
-            starts = [m.start() for m in _WORD.finditer(text, a, b)]
-            starts[0] = a
-            starts.append(b)
-            for i in range(0, len(words), LONGEST):
-                k = min(i + LONGEST, len(words))
-                out.append((starts[i], starts[k], xxhash.xxh3_64_intdigest(" ".join(words[i:k]).lower()), k - i))
-        elif words:
-            out.append((a, b, xxhash.xxh3_64_intdigest(" ".join(words).lower()), len(words)))
-        a = b
+    places = np.searchsorted(starts, [0, *ends])
+    full = np.flatnonzero(places[1:] > places[:-1]).tolist()
+    begins = [0, *ends]
+    # By the first word of a sentence: where the text of its first unit starts, and where the sentence before ended.
+    heads = {int(places[j]): begins[j] for j in full}
+    lasts = {int(places[j + 1]): begins[j + 1] for j in full}
+    cuts = _starts(words, np.array(list(heads)))
+    out = []
+    for i, k in zip(cuts.tolist(), [*cuts[1:].tolist(), len(words)]):
+        a = heads[i] if i in heads else starts[i]
+        b = lasts[k] if k in lasts else starts[k]
+        out.append((a, b, xxhash.xxh3_64_intdigest(" ".join(words[i:k])), k - i))
     return out
 
 

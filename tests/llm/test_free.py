@@ -292,6 +292,26 @@ def test_spans_of_very_short_sentences(make):
     assert got[3].n_removed == got[4].n_removed == 0
 
 
+def test_spans_at_any_offset(make):
+    """A passage of 51 words shares three units or more wherever it begins, with and without sentence ends."""
+    rng = random.Random(17)
+    rows, parts = [], []
+    for i in range(120):
+        w = prose(rng, 51).split()
+        for j in range(rng.randrange(18), 51, rng.randrange(17, 40)) if i % 2 else ():
+            w[j] += "."
+        parts.append(w)
+        rows += [(2 * i + k, " ".join([prose(rng, 17 + rng.randrange(30)), *w, prose(rng, 20)])) for k in range(2)]
+    got = {r.doc_id: r for r in sentence_spans.drop_repeated_spans(make(rows)).collect()}
+    for i, w in enumerate(parts):
+        assert got[2 * i].n_removed == 0 and got[2 * i + 1].n_removed >= 3
+        before, after = rows[2 * i + 1][1].split(), got[2 * i + 1].text.split()
+        assert 10 <= len(before) - len(after) <= 53, i
+    for _, t in rows:
+        units = sentence_spans.sentences(t)
+        assert "".join(t[a:b] for a, b, _, _ in units) == t and max(u[3] for u in units) <= 8
+
+
 # decontamination
 
 
