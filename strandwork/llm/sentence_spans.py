@@ -109,55 +109,62 @@ def spans(units: list[tuple[int, int, int, int]], span: int = SPAN, least: int =
     return first, mixed.view(np.int64)
 
 
-def _span_rows(documents: DataFrame, span: int, least: int) -> DataFrame:
-    """(doc_id, hash, at): all spans; within a document only their first place counts as the first."""
+def _span_rows(rows: DataFrame, span: int, least: int) -> DataFrame:
+    """(key, same, hash, at): all spans of the rows (key, same, text)."""
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows, hashes, at = [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
+            for i, t in enumerate(batch.column(2).to_pylist()):
                 a, h = spans(sentences(t), span, least)
                 rows.append(np.full(len(a), i))
                 at.append(a)
                 hashes.append(h)
             join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(join(rows))), pa.array(join(hashes)), pa.array(join(at).astype(np.int32))], ["key", "hash", "at"])
+            row = pa.array(join(rows))
+            return pa.RecordBatch.from_arrays([*(c.take(row) for c in batch.columns[:2]), pa.array(join(hashes)), pa.array(join(at).astype(np.int32))], ["key", "same", "hash", "at"])
 
         return one
 
-    return in_arrow(documents, make, "key long, hash long, at int")
+    return in_arrow(rows, make, "key long, same long, hash long, at int")
 
 
 def drop_repeated_spans(documents: DataFrame, span: int = SPAN, least: int = LEAST_WORDS) -> DataFrame:
     """Per document: doc_id, text without the covered sentences, n_removed, removed.
 
     A sentence is removed if any run of ``span`` sentences (or of as many more as make ``least`` words
-    together) that covers it occurred before: in a document of a lesser doc_id, or earlier in the same one. The
-    first occurrence stays. removed lists the places (start:end in code points, end exclusive) that
+    together) that covers it occurred before: in an earlier row, or earlier in the same one. The first
+    occurrence stays. removed lists the places (start:end in code points, end exclusive) that
     went, comma-joined; white space around a removed sentence stays with its neighbours.
 
-    Null texts count as empty and come back empty. Copies of a text lose all their spans but for the
-    first; rows with one doc_id are one place in the order, and each loses what an earlier place or
-    document had. Null doc_ids come last. Texts of fewer than ``span`` sentences or ``least`` words stay. An empty table
-    gives an empty result; further columns are ignored.
+    Null texts count as empty and come back empty. Places are those of rows, not of ids: rows are ordered
+    by doc_id (null ones last), then by a hash of the text, so rows that share an id, or have none, each
+    keep what no earlier row had. Of rows equal in id and text the first is treated as any other and each
+    further one loses all its spans. Texts of fewer than ``span`` sentences or ``least`` words stay. An
+    empty table gives an empty result; further columns are ignored.
     """
     small_batches(documents.sparkSession)
-    docs = documents.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = cut(_span_rows(docs.select("key", "text"), span, least))
+    text = F.coalesce("text", F.lit(""))
+    docs = documents.select(
+        F.coalesce("doc_id", F.lit(2**63 - 1)).alias("key"), F.xxhash64(F.col("doc_id").isNull(), text).alias("same"), "doc_id", text.alias("text")
+    )
+    rows = cut(_span_rows(docs.select("key", "same", "text"), span, least))
     # Counts and first places combine in each task before the shuffle, so that a very common span is a few rows.
-    first = rows.groupBy("hash").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = cut(first.select("hash", F.col("first.key").alias("first_key"), F.col("first.at").alias("first_at")))
-    later = rows.join(first, "hash").where("key <> first_key or at <> first_at")
-    covered = later.groupBy("key").agg(F.collect_set("at").alias("at"))  # at most a document's own places
-    marked = docs.join(covered, "key", "left").select("doc_id", "text", "at")
+    first = rows.groupBy("hash").agg(F.min(F.struct("key", "same", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = cut(first.select("hash", F.col("first.key").alias("first_key"), F.col("first.same").alias("first_same"), F.col("first.at").alias("first_at")))
+    later = rows.join(first, "hash").where("key <> first_key or same <> first_same or at <> first_at")
+    covered = later.groupBy("key", "same").agg(F.collect_set("at").alias("at"))  # at most a row's own places
+    # Rows equal in id and text are one row with a count; they meet in each task before the shuffle.
+    once = docs.groupBy("key", "same").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    marked = once.join(covered, ["key", "same"], "left").select("doc_id", "text", "at", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts, gone, removed = [], [], []
-            for text, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                units = sentences(text) if at else []
+            for text, at, copy in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                units = sentences(text) if at or copy > 1 else []
                 ends = span_ends(units, span, least).tolist()
-                marks = {k for i in at or () for k in range(i, ends[i])}
+                marks = {k for i in (at or () if copy == 1 else range(len(ends))) for k in range(i, ends[i])}
                 places, kept, end = [], [], 0
                 for i in sorted(marks):
                     a, b = units[i][:2]

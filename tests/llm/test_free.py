@@ -243,29 +243,43 @@ def test_site_templates_go(spark):
 # sentence spans
 
 
-def brute_removed(rows, span=3):
-    seen, out = {}, {}
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+def brute_removed(rows):
+    """By the rule, row by row: earlier rows are those of a lesser id, then of a lesser hash of the text, then earlier copies."""
+    whole = lambda units: list(enumerate(sentence_spans.span_ends(units).tolist()))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, same_hash(rows[i]), i))
+    seen, out = set(), Counter()
     for i in order:
-        units = sentence_spans.sentences(rows[i][1])
-        for k in range(len(units) - span + 1):
-            if sum(u[3] for u in units[k : k + span]) >= sentence_spans.LEAST_WORDS:
-                seen.setdefault(tuple(u[2] for u in units[k : k + span]), (rows[i][0], k))
-    for i, (doc, t) in enumerate(rows):
+        doc, t = rows[i]
         units, marks = sentence_spans.sentences(t), set()
-        for k in range(len(units) - span + 1):
-            key = tuple(u[2] for u in units[k : k + span])
-            if key in seen and seen[key] != (doc, k):
-                marks |= set(range(k, k + span))
+        for a, b in whole(units):
+            run = tuple(u[2] for u in units[a:b])
+            if run in seen:
+                marks |= set(range(a, b))
+            seen.add(run)
         kept, end = [], 0
         for m in sorted(marks):
             kept.append(t[end : units[m][0]])
             end = units[m][1]
-        out[i] = "".join(kept) + (t or "")[end:]
-    return Counter((rows[i][0], out[i]) for i in out)
+        out[doc, "".join(kept) + (t or "")[end:]] += 1
+    return out
 
 
-def test_sentence_spans_against_brute_force(make, none):
+def same_hash(row):
+    """The order of rows that share an id: Spark's hash of the null mark and the text."""
+    return SAME[row]
+
+
+SAME = {}
+
+
+def hashed(spark, rows):
+    frame = spark.createDataFrame([(i, d, t) for i, (d, t) in enumerate(rows)], "i long, doc_id long, text string")
+    for r in frame.selectExpr("i", "xxhash64(doc_id is null, coalesce(text, '')) as h").collect():
+        SAME[rows[r.i]] = r.h
+    return rows
+
+
+def test_sentence_spans_against_brute_force(spark, make, none):
     rng = random.Random(6)
     sentence = lambda: prose(rng, rng.randrange(3, 12)).capitalize() + rng.choice([".", "!", "?", ".&&&"])
     passage = " ".join(sentence() for _ in range(9))
@@ -273,7 +287,7 @@ def test_sentence_spans_against_brute_force(make, none):
     rows = [(i, " ".join([*(sentence() for _ in range(6)), passage if i % 4 == 0 else "", *(sentence() for _ in range(3)), "\n" + unpunctuated if i % 9 == 1 else ""])) for i in range(40)]
     rows += [(100, rows[0][1]), (101, rows[0][1]), (102, "Short. Of. The."), (103, "Short. Of. The."), (104, passage + " " + passage)]
     got = Counter((r.doc_id, r.text) for r in sentence_spans.drop_repeated_spans(make(rows)).collect())
-    assert got == brute_removed(rows)
+    assert got == brute_removed(hashed(spark, rows))
     texts = {r.doc_id: r for r in sentence_spans.drop_repeated_spans(make(rows)).collect()}
     assert passage in texts[0].text and passage[:40] not in texts[4].text and texts[5].text == rows[5][1] and texts[102].n_removed == 0
     odd = sentence_spans.drop_repeated_spans(make(ODD)).collect()
@@ -281,6 +295,17 @@ def test_sentence_spans_against_brute_force(make, none):
     assert sentence_spans.drop_repeated_spans(none).count() == 0
 
 
+def test_spans_of_rows_that_share_or_lack_an_id(spark, make):
+    """Rows are judged by themselves: a unique text under a shared id, or under none, stays."""
+    rng = random.Random(36)
+    text = lambda: " ".join(prose(rng, rng.randrange(5, 9)).capitalize() + "." for _ in range(8))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (7, b), (7, a), (None, a), (None, c), (None, c), (None, None), (None, b + " " + d), (9, d), (9, d), (9, d), (9, c)]
+    got = Counter((r.doc_id, r.text) for r in sentence_spans.drop_repeated_spans(make(rows)).collect())
+    assert got == brute_removed(hashed(spark, rows))
+    assert got[1, a] == got[7, b] == got[9, d] == got[9, c] == 1 and got[7, ""] == 1 and got[9, ""] == 2
+
+
 def test_spans_of_very_short_sentences(make):
     """Passages whose sentences are one to three words long go as well."""
     rng = random.Random(16)
