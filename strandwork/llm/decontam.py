@@ -15,7 +15,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,9 @@ from .common import small_batches
 
 TERMS, RANK, COLUMNS, PASSAGE = 4096, 64, 72, 32
 WINDOWS = (12, 24, 48)  # each twice the one before, and four strides of a multiple of three words
-LEAST_ITEM = 8
+SHORT = 8  # items of fewer words have no windows: they are searched as runs of words
+WHOLE = 3  # items of fewer words leak only as whole texts
+MOST_ITEMS, QUERIES = 20_000, 4096  # items in one pass over the documents; query windows in one product
 COSINE, SHORT_COSINE, SAME, ALIKE, ANSWER = 0.75, 0.65, 0.75, 0.6, 0.8
 STEP, STRETCH, BLOCK = WINDOWS[0] // 4, 6, 256  # words in a step, and between the starts of counted stretches; items counted at a time
 COMMON = 0.1  # occurrences of a common term in a stretch, for each in the item
@@ -171,11 +174,11 @@ def common_subsequence(masks: dict[bytes, int], size: int, other: list[bytes]) -
 
 
 def benchmark_items(benchmark: DataFrame) -> list[Item]:
-    """The query set, on the driver: the benchmark's items with eight words or more. An item's answer is its last sentence of three words or more."""
+    """The query set, on the driver: the benchmark's items with a word or more. An item's answer is its last sentence of three words or more."""
     out = []
     for r in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
         words = words_of(r.text)
-        if len(words) < LEAST_ITEM:
+        if not words:
             continue
         ends = [s for x in re.split(r"[.!?]+\s|\n+", r.text) if len(s := words_of(x)) >= 3]
         answer = ends[-1] if ends else words
@@ -272,6 +275,136 @@ class WordCounts:
         return np.bitwise_count(v) <= self.slack[items]
 
 
+class ShortItems:
+    """Items of fewer than SHORT words, found as runs of whole words by one Aho-Corasick pass over a text's words."""
+
+    def __init__(self, items: list[Item]):
+        self.found_in, self.whole = None, {}
+        by_words: dict[str, list[int]] = {}
+        for item in items:
+            run = f" {b' '.join(item.words).decode('latin-1')} "
+            if len(item.words) < WHOLE:
+                self.whole.setdefault(run, []).append(item.item_id)
+            else:
+                by_words.setdefault(run, []).append(item.item_id)
+        if by_words:
+            import ahocorasick
+
+            self.found_in = ahocorasick.Automaton()
+            for run, ids in by_words.items():
+                self.found_in.add_word(run, ids)
+            self.found_in.make_automaton()
+
+    def near(self, words: list[bytes]) -> list[int]:
+        """item_ids that stand in the text, as often as the benchmark has them."""
+        if not self.whole and self.found_in is None:
+            return []
+        run = f" {b' '.join(words).decode('latin-1')} "
+        found = {id(ids): ids for _, ids in self.found_in.iter(run)} if self.found_in is not None else {}
+        return [*self.whole.get(run, []), *(x for ids in found.values() for x in ids)]
+
+
+class Search:
+    """All items against batches of texts. Built once in each task."""
+
+    def __init__(self, items: list[Item], terms: np.ndarray, cosine: float):
+        self.terms, self.columns = terms, TermColumns()
+        self.items = [i for i in items if len(i.words) >= SHORT]
+        self.short = ShortItems([i for i in items if len(i.words) < SHORT])
+        self.queries: dict[int, Queries] = {}
+        for w in sorted({i.window for i in self.items}):
+            own = [(k, o) for k, i in enumerate(self.items) if i.window == w for o in i.offsets()]
+            q = np.stack([terms[self.columns.of(self.items[k].words[o : o + w])].sum(0) for k, o in own])
+            least = np.array([cosine if len(self.items[k].words) >= w else min(cosine, SHORT_COSINE) for k, _ in own], np.float32)
+            self.queries[w] = Queries(own, (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).T.astype(np.float32), least)
+        self.counts = WordCounts(self.items, self.columns)
+
+    def find(self, texts: list[str | None]) -> list[tuple[int, int, float, float]]:
+        """(row, item_id, cosine, lcs) of every text and item that leaks into it."""
+        out: list[tuple[int, int, float, float]] = []
+        terms: list[np.ndarray] = []
+        for row, t in enumerate(texts):
+            words = words_of(t)
+            out += [(row, item, 1.0, 1.0) for item in self.short.near(words)]
+            terms.append(self.columns.of(words))
+        if self.items:
+            for tokens, starts, first in _streams(terms, WINDOWS[-1], WINDOWS[-1]):
+                out += self._in_stream(tokens, starts, texts, first)
+        return out
+
+    def _in_stream(self, tokens: np.ndarray, starts: np.ndarray, texts: list[str | None], first: int) -> Iterator[tuple[int, int, float, float]]:
+        found: set[tuple[int, int]] = set()
+        words = _Words(texts, first)
+        windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        steps = self.terms[tokens].reshape(-1, STEP, RANK).sum(1)
+        for w, query in self.queries.items():
+            while len(tokens) // len(steps) < w // 4:
+                steps = steps[0::2] + steps[1::2]
+            e = steps[:-3] + steps[1:-2] + steps[2:-1] + steps[3:]
+            norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", e, e)), 1e-6)
+            windows[w] = e, norm
+            for a in range(0, len(query.own), QUERIES):
+                like = e @ query.vectors[:, a : a + QUERIES]
+                near = like >= norm[:, None] * query.least[a : a + QUERIES]
+                (rows,) = np.nonzero(near.any(1))
+                for r in rows.tolist():
+                    doc = int(np.searchsorted(starts, r * (w // 4) + w // 8, "right")) - 1
+                    for c in np.flatnonzero(near[r]).tolist():
+                        k, o = query.own[a + c]
+                        if (doc, k) not in found and (lcs := confirm(self.items[k], words[doc], int(r * (w // 4) - starts[doc]) - o)) is not None:
+                            found.add((doc, k))
+                            yield first + doc, self.items[k].item_id, float(like[r, c] / norm[r]), lcs
+        for place, k in self.counts.near(tokens):
+            doc = int(np.searchsorted(starts, place, "right")) - 1
+            start = int(place - starts[doc])
+            if (doc, k) in found or start >= len(words[doc]):
+                continue
+            item = self.items[k]
+            if (lcs := confirm_near(item, words[doc], start)) is not None:
+                (e, norm), query, w = windows[item.window], self.queries[item.window], item.window
+                here = slice(place // (w // 4), (place + item.reach) // (w // 4) + 1)
+                like = (e[here] @ query.vectors[:, query.of(k)]).max(1, initial=-1.0) / norm[here]
+                found.add((doc, k))
+                yield first + doc, item.item_id, float(like.max(initial=-1.0)), lcs
+
+
+class _Words(dict):
+    """By document of a stream, its words, cut up when they are first asked for."""
+
+    def __init__(self, texts: list[str | None], first: int):
+        super().__init__()
+        self.texts, self.first = texts, first
+
+    def __missing__(self, doc: int) -> list[bytes]:
+        out = self[doc] = words_of(self.texts[self.first + doc])
+        return out
+
+
+@dataclass
+class Queries:
+    """The query windows of one width: (item, offset) of each, their unit vectors as columns, and the least cosine."""
+
+    own: list[tuple[int, int]]
+    vectors: np.ndarray
+    least: np.ndarray
+    by_item: dict[int, list[int]] = field(default_factory=dict)
+
+    def of(self, item: int) -> list[int]:
+        if not self.by_item:
+            for c, (k, _) in enumerate(self.own):
+                self.by_item.setdefault(k, []).append(c)
+        return self.by_item[item]
+
+
+def _searches(documents: DataFrame, benchmark: DataFrame) -> list:
+    """A broadcast of (items, term vectors) for each pass over the documents: MOST_ITEMS items at a time, so no broadcast outgrows them."""
+    spark = documents.sparkSession
+    small_batches(spark, 1000)
+    items = benchmark_items(benchmark)
+    terms = latent_terms(documents) if items else None
+    return [spark.sparkContext.broadcast((items[a : a + MOST_ITEMS], terms)) for a in range(0, len(items), MOST_ITEMS)]
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Per document and item that leaks into it: doc_id, item_id, cosine, lcs.
 
@@ -281,78 +414,24 @@ def leaks(documents: DataFrame, benchmark: DataFrame, cosine: float = COSINE) ->
 
     A passage is any stretch of the item's words and a quarter (or four words) more on either side.
     Whole texts are searched, and every such passage is held against every item that it has enough words
-    of, whatever its latent likeness; cosine is then the highest of the passage's windows. Null and empty texts leak nothing; items of fewer than eight
-    words aren't searched for. Repeated rows of documents or items give repeated results. An empty table on
-    either side gives an empty result; further columns are ignored.
+    of, whatever its latent likeness; cosine is then the highest of the passage's windows. An item of
+    three to seven words leaks where they stand in a row, one of one or two only into a text that has no
+    others (cosine and lcs are 1). Null and empty texts leak nothing. Repeated rows of documents or
+    items give repeated results. An empty table on either side gives an empty result; further columns
+    are ignored.
     """
-    small_batches(documents.sparkSession, 1000)
-    items = benchmark_items(benchmark)
-    schema = "doc_id long, item_id long, cosine double, lcs double"
-    if not items:
-        return documents.sparkSession.createDataFrame([], schema)
-    terms = latent_terms(documents)
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast((items, terms))  # a query set and TERMS x RANK floats
+    names, schema = ["doc_id", "item_id", "cosine", "lcs"], "doc_id long, item_id long, cosine double, lcs double"
+    passes = []
+    for shared in _searches(documents, benchmark):
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, terms = shared.value
-        columns = TermColumns()
-        queries = {}
-        for w in sorted({i.window for i in items}):
-            own = [(k, o) for k, i in enumerate(items) if i.window == w for o in i.offsets()]
-            q = np.stack([terms[columns.of(items[k].words[o : o + w])].sum(0) for k, o in own])
-            least = np.array([cosine if len(items[k].words) >= w else min(cosine, SHORT_COSINE) for k, _ in own], np.float32)
-            queries[w] = own, (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).T.astype(np.float32), least
-        counts = WordCounts(items, columns)
-        for batch in batches:
-            ids, texts = batch.columns
-            texts = texts.to_pylist()
-            out: list[tuple] = []
-            for tokens, starts, first in _streams([columns.of(words_of(t)) for t in texts], WINDOWS[-1], WINDOWS[-1]):
-                found: set[tuple[int, int]] = set()
-                cut: dict[int, list[bytes]] = {}
-                likes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-                def words_at(doc: int) -> list[bytes]:
-                    if doc not in cut:
-                        cut[doc] = words_of(texts[first + doc])
-                    return cut[doc]
-
-                steps = terms[tokens].reshape(-1, STEP, RANK).sum(1)
-                for w, (own, q, least) in queries.items():
-                    while len(tokens) // len(steps) < w // 4:
-                        steps = steps[0::2] + steps[1::2]
-                    e = steps[:-3] + steps[1:-2] + steps[2:-1] + steps[3:]
-                    norm = np.sqrt(np.einsum("ij,ij->i", e, e))
-                    like = e @ q
-                    likes[w] = like, norm
-                    near = like >= np.maximum(norm, 1e-6)[:, None] * least
-                    (rows,) = np.nonzero(near.any(1))
-                    for r in rows.tolist():
-                        doc = int(np.searchsorted(starts, r * (w // 4) + w // 8, "right")) - 1
-                        for c in np.flatnonzero(near[r]).tolist():
-                            k, o = own[c]
-                            if (doc, k) in found:
-                                continue
-                            if (lcs := confirm(items[k], words_at(doc), int(r * (w // 4) - starts[doc]) - o)) is not None:
-                                found.add((doc, k))
-                                out.append((first + doc, items[k].item_id, float(like[r, c] / norm[r]), lcs))
-                for place, k in counts.near(tokens):
-                    doc = int(np.searchsorted(starts, place, "right")) - 1
-                    start = int(place - starts[doc])
-                    if (doc, k) in found or start >= len(words_at(doc)):
-                        continue
-                    item = items[k]
-                    if (lcs := confirm_near(item, words_at(doc), start)) is not None:
-                        like, norm = likes[item.window]
-                        here = slice(place // (item.window // 4), (place + item.reach) // (item.window // 4) + 1)
-                        each = [c for c, (i, _) in enumerate(queries[item.window][0]) if i == k]
-                        found.add((doc, k))
-                        out.append((first + doc, item.item_id, float((like[here][:, each].max(1) / np.maximum(norm[here], 1e-6)).max(initial=-1.0)), lcs))
-            at, item, c, lcs = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int32())), pa.array(item, pa.int64()), pa.array(c, pa.float64()), pa.array(lcs, pa.float64())], ["doc_id", "item_id", "cosine", "lcs"])
-
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            search = Search(*shared.value, cosine)
+            for batch in batches:
+                at, item, c, lcs = zip(*found) if (found := search.find(batch.column(1).to_pylist())) else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(item, pa.int64()), pa.array(c, pa.float64()), pa.array(lcs, pa.float64())], names)
+
+        passes.append(documents.select("doc_id", "text").mapInArrow(run, schema))
+    return reduce(DataFrame.union, passes) if passes else documents.sparkSession.createDataFrame([], schema)
 
 
 def confirm(item: Item, words: list[bytes], start: int) -> float | None:
@@ -383,6 +462,20 @@ def _leaked(item: Item, passage: list[bytes]) -> float | None:
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``documents`` without those that any item leaks into; columns as before. Rows without doc_id stay."""
-    bad = leaks(documents, benchmark).where("doc_id is not null").select("doc_id").distinct()
-    return documents.join(bad, "doc_id", "left_anti").select(*documents.columns)
+    """``documents`` without those that any item leaks into; columns as before.
+
+    Each row is judged by its own text, whatever its doc_id, so rows without an id, or that share one, are
+    no exception. Null and empty texts stay; an empty benchmark takes nothing.
+    """
+    at = documents.columns.index("text")
+    for shared in _searches(documents, benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            search = Search(*shared.value, COSINE)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, *_ in search.find(batch.column(at).to_pylist())]] = False
+                yield batch.filter(pa.array(keep))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents

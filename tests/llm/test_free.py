@@ -363,6 +363,25 @@ def test_leaks_against_plain_search(spark, make, none):
     assert decontam.leaks(none, benchmark).count() == 0 and decontam.leaks(make(rows[:3]), benchmark.limit(0)).count() == 0
 
 
+def test_short_items_and_rows_without_ids(spark, make, monkeypatch):
+    """Items of three to seven words as runs of words, shorter ones as whole texts; rows are judged by themselves, in several passes over the items."""
+    monkeypatch.setattr(decontam, "MOST_ITEMS", 2)
+    rng = random.Random(30)
+    long = prose(rng, 24, 5000) + "."
+    items = ["Who wrote the first tale?", "Blue whale", "one two three", long, "one two three", "  ", None]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    body = prose(rng, 60, 5000)
+    rows = [(0, body + " who wrote THE first tale " + body), (1, "who wrote the very first tale"), (2, "blue, whale"), (3, "a blue whale"), (4, "none two three"),
+            (5, "one two three"), (None, body + " " + long), (None, body), (5, body), (5, body), (6, "one-two; three times one two three")]
+    got = Counter((r.doc_id, r.item_id) for r in decontam.leaks(make(rows), benchmark).collect())
+    assert got == Counter([(0, 0), (2, 1), (5, 2), (5, 4), (None, 3), (6, 2), (6, 4)])
+    kept = decontam.without_leaks(make(rows), benchmark)
+    assert kept.columns == make(rows).columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(r for r in rows if r[0] in (1, 3, 4) or r[1] == body)
+    again = decontam.leaks(make([(9, long), (9, long)]), benchmark.union(benchmark)).collect()
+    assert Counter((r.doc_id, r.item_id) for r in again) == {(9, 3): 4}
+
+
 def test_leaks_of_any_part_of_an_item(spark, make):
     """Parts that start behind an item's first words, and changed ones, against the rule for every passage."""
     rng = random.Random(21)
