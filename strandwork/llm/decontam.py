@@ -89,7 +89,9 @@ def _sketch_pass(documents: DataFrame) -> DataFrame:
             for tokens, _, _ in _streams([columns.of(words_of(t)) for t in batch.column(0).to_pylist()], 0, PASSAGE):
                 rows = tokens.reshape(-1, PASSAGE)
                 passages += len(rows)
-                y = o[rows].sum(1)
+                y = o.take(rows[:, 0], 0)
+                for i in range(1, PASSAGE):
+                    y += o.take(rows[:, i], 0)
                 for c in range(COLUMNS):
                     sums[c] += np.bincount(tokens, weights=np.repeat(y[:, c], PASSAGE), minlength=TERMS + 1)
                 ordered = np.sort(rows, axis=1)
@@ -335,25 +337,25 @@ class Search:
     def _in_stream(self, tokens: np.ndarray, starts: np.ndarray, texts: list[str | None], first: int) -> Iterator[tuple[int, int, float, float]]:
         found: set[tuple[int, int]] = set()
         words = _Words(texts, first)
-        windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        steps = self.terms[tokens].reshape(-1, STEP, RANK).sum(1)
+        windows: dict[int, np.ndarray] = {}
+        steps = self.terms.take(tokens[0::STEP], 0)
+        for i in range(1, STEP):
+            steps += self.terms.take(tokens[i::STEP], 0)
         for w, query in self.queries.items():
             while len(tokens) // len(steps) < w // 4:
                 steps = steps[0::2] + steps[1::2]
             e = steps[:-3] + steps[1:-2] + steps[2:-1] + steps[3:]
-            norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", e, e)), 1e-6)
-            windows[w] = e, norm
+            e /= np.maximum(np.sqrt(np.einsum("ij,ij->i", e, e)), 1e-6)[:, None]
+            windows[w] = e
             for a in range(0, len(query.own), QUERIES):
                 like = e @ query.vectors[:, a : a + QUERIES]
-                near = like >= norm[:, None] * query.least[a : a + QUERIES]
-                (rows,) = np.nonzero(near.any(1))
-                for r in rows.tolist():
+                near = np.flatnonzero(like >= query.least[a : a + QUERIES])
+                for r, c in zip(*(x.tolist() for x in np.divmod(near, like.shape[1]))):
                     doc = int(np.searchsorted(starts, r * (w // 4) + w // 8, "right")) - 1
-                    for c in np.flatnonzero(near[r]).tolist():
-                        k, o = query.own[a + c]
-                        if (doc, k) not in found and (lcs := confirm(self.items[k], words[doc], int(r * (w // 4) - starts[doc]) - o)) is not None:
-                            found.add((doc, k))
-                            yield first + doc, self.items[k].item_id, float(like[r, c] / norm[r]), lcs
+                    k, o = query.own[a + c]
+                    if (doc, k) not in found and (lcs := confirm(self.items[k], words[doc], int(r * (w // 4) - starts[doc]) - o)) is not None:
+                        found.add((doc, k))
+                        yield first + doc, self.items[k].item_id, float(like[r, c]), lcs
         for place, k in self.counts.near(tokens):
             doc = int(np.searchsorted(starts, place, "right")) - 1
             start = int(place - starts[doc])
@@ -361,9 +363,9 @@ class Search:
                 continue
             item = self.items[k]
             if (lcs := confirm_near(item, words[doc], start)) is not None:
-                (e, norm), query, w = windows[item.window], self.queries[item.window], item.window
+                e, query, w = windows[item.window], self.queries[item.window], item.window
                 here = slice(place // (w // 4), (place + item.reach) // (w // 4) + 1)
-                like = (e[here] @ query.vectors[:, query.of(k)]).max(1, initial=-1.0) / norm[here]
+                like = e[here] @ query.vectors[:, query.of(k)]
                 found.add((doc, k))
                 yield first + doc, item.item_id, float(like.max(initial=-1.0)), lcs
 
