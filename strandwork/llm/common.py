@@ -97,8 +97,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): component is the smallest node that is reachable over ``edges`` (u, v).
 
     Alternates large-star and small-star steps, each a map-side combined minimum and a join, so that
-    no step gathers a component in one task. Nulls and loops are ignored; nodes without an edge to
-    another node aren't returned. An empty edge table gives an empty result.
+    no step gathers a component in one task. Ends when the edges are stars, checked exactly; more than
+    ``most_rounds`` rounds, where a path of n nodes takes about log n, raise an error rather than give a
+    part. Nulls and loops are ignored; nodes without an edge to another node aren't returned. An empty
+    edge table gives an empty result.
     """
     e = cut(
         edges.where("u is not null and v is not null and u <> v")
@@ -119,7 +121,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         discard(e)
         e = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if now == before or now[0] == 0:
+        if now[0] == 0 or now == before and _stars(e):
             break
         before = now
     else:
@@ -129,6 +131,31 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     )
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node has one centre and no centre has one itself: then nothing changes any more."""
+    if not e.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return False
+    return e.select("b").distinct().join(e.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+
+
+#: Keys that hold so large a share of the rows (1 / HOT) are hot; there are HOT of them at most.
+HOT = 4096
+
+
+def join_by_count(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
+    """``left`` left-joined with ``right`` on ``key``, of which no task gets all rows of a hot key.
+
+    ``right`` has a row for each key and in ``count`` the rows of ``left`` that it has. Keys with 1 / HOT
+    of them or more, HOT at most, are broadcast; the others meet by the key. A null key matches nothing.
+    Column ``count`` isn't returned. Both sides are read twice: give tables, not plans.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = right.where(F.col(count) * HOT >= max(total, 1)).drop(count)
+    cold = right.where(F.col(count) * HOT < max(total, 1)).drop(count)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
+    return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def in_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """Map Arrow batches with the function that ``make`` builds once in each task."""
 

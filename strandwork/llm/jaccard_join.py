@@ -2,7 +2,8 @@
 
 Texts are sets of hashed five-word shingles. Equal sets are one node from the start. A path splits
 nodes on a token that they share: the smallest shingle under a hash function, which the path itself
-picks. Buckets that stay small are compared by brute force; larger ones are split further. Runs
+picks. Buckets that stay small are compared by brute force; larger ones are split further, each time
+by BRANCHES tokens, so that a pair whose bucket is crowded is lost no more often than another. Runs
 repeat with other hash functions until a pair at the threshold is found with the target recall.
 
 What a bucket brings together is not counted there. It joins candidate groups, and each group is
@@ -20,18 +21,26 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, discard, in_arrow, runs, small_batches
+from .common import connected_components, cut, discard, in_arrow, join_by_count, runs, small_batches
 from .shingles import WordHashes, shingle_set
 
-COORDINATES, DEPTH, MOST_DEPTH, BUCKET = 64, 2, 6, 128
+COORDINATES, DEPTH, MOST_DEPTH, BUCKET, BRANCHES = 64, 2, 6, 128, 2
 #: A verified group is cut into blocks of about so many nodes, and so many tokens at most.
 BLOCK, BLOCK_TOKENS = 1024, 1_000_000
 TARGET_RECALL = 0.9999
 
 
-def runs_needed(threshold: float, recall: float = TARGET_RECALL, depth: int = DEPTH) -> int:
-    """Runs until a pair at the threshold shares a bucket at ``depth`` with probability ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
+def survival(threshold: float, depth: int, branches: int = BRANCHES) -> float:
+    """The probability that a run brings a pair at the threshold together at ``depth``: on at least one branch of each split beyond DEPTH."""
+    below = 1.0
+    for _ in range(depth - DEPTH):
+        below = 1 - (1 - threshold * below) ** branches
+    return threshold**DEPTH * below
+
+
+def runs_needed(threshold: float, recall: float = TARGET_RECALL) -> int:
+    """Runs until a pair at the threshold shares a bucket with probability ``recall``, however far its buckets are split."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, MOST_DEPTH)))
 
 
 def _multipliers() -> np.ndarray:
@@ -73,9 +82,11 @@ def words_hash(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64))
 
 
-def _next_path(path: Column) -> Column:
-    """The path, lengthened by the token at the coordinate that it picks itself."""
-    at = F.pmod(F.xxhash64(path, F.lit("pick")), F.lit(COORDINATES)).cast("int")
+def _next_path(path: Column, branch: int = 0) -> Column:
+    """The path, lengthened by the token at the coordinate that it picks itself, another one for each ``branch``."""
+    first = F.xxhash64(path, F.lit("pick"))
+    # Steps along the coordinates, so that no two branches pick the same one.
+    at = F.pmod(first + branch * (1 + F.pmod(F.shiftright(first, 32), F.lit(COORDINATES // BRANCHES))), F.lit(COORDINATES)).cast("int")
     return F.xxhash64(path, at, F.get("sig", at))
 
 
@@ -128,7 +139,8 @@ def _candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataF
         if depth == MOST_DEPTH:
             dense = large
             break
-        rows = large.join(nodes.select("node", "sig"), "node").select("node", _next_path(F.col("path")).alias("path"))
+        split = F.explode(F.array(*(_next_path(F.col("path"), i) for i in range(BRANCHES))))
+        rows = large.join(nodes.select("node", "sig"), "node").select("node", split.alias("path"))
 
     def brute(batches):
         for t in runs(batches, ["path"]):
@@ -202,26 +214,20 @@ def intersections(flat: np.ndarray, n: np.ndarray, width: int = 4096) -> np.ndar
     return np.rint(out).astype(np.int64)
 
 
-def jaccard_classes(documents: DataFrame, threshold: float = 0.8, recall: float = TARGET_RECALL) -> DataFrame:
-    """Per document: doc_id, class_id, n_links, copy_id.
+def _classes(documents: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, key, n, node; nodes: node, size, copy_id, component, class_id, n_links and the class's first row's doc_id and key).
 
-    copy_id stands for the documents with the same set of five-word shingles (the least doc_id of
-    them); n_links counts the other documents at Jaccard ``threshold`` or above, copies included;
-    class_id is the least doc_id of the documents that links connect. Words are runs of word
-    characters in lower case; a text of one to four words is a single shingle. Texts without words,
-    null ones included, are alone: class_id and copy_id are their doc_id, without links.
-    Every row comes back, repeated ones too (they are copies of each other). Rows without doc_id keep
-    their links; an id is then missing only if no member of the class has one. Further columns are ignored.
+    A row's class depends on its text alone, so rows that share or lack an id are told apart by ``key``, a hash of the text.
     """
     small_batches(documents.sparkSession)
     docs = documents.select("doc_id", "text")
     each = cut(_summaries(docs))
     # Equal sets have equal path tokens; the row with the least id lends its text to the verification.
-    holder = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    holder = F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "key"))
     sets = each.where("n > 0").groupBy("node").agg(holder.alias("h"), F.count("*").alias("size"), F.min("n").alias("n"), F.min("sig").alias("sig"))
-    nodes = cut(sets.select("node", "n", "sig", "size", F.col("h.doc_id").alias("copy_id"), F.col("h.key").alias("holder")))
+    nodes = cut(sets.select("node", "n", "sig", "size", "h"))
     groups = cut(connected_components(_candidate_edges(nodes, threshold, recall)))
-    grouped = groups.join(nodes.select("node", "copy_id", "holder", "size", "n"), "node")
+    grouped = groups.join(nodes.select("node", F.col("h.doc_id").alias("copy_id"), F.col("h.key").alias("holder"), "size", "n"), "node")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int")
     chosen = grouped.join(grouped.groupBy("component").agg(blocks.alias("blocks")), "component")
     blocks = F.col("blocks")
@@ -235,14 +241,39 @@ def jaccard_classes(documents: DataFrame, threshold: float = 0.8, recall: float
     )
     spread = spread.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node")
     verified = cut(_verify(spread, threshold))
+    discard(groups)
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected_components(verified.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    linked = links.join(classes, "node", "left").join(nodes.select("node", "copy_id"), "node")
-    linked = linked.select("node", "links", F.coalesce("component", "node").alias("component"), "copy_id")
-    least = linked.groupBy("component").agg(F.min("copy_id").alias("class_id"))
-    by_node = nodes.select("node", "copy_id", "size").join(linked.join(least, "component").select("node", "links", "class_id"), "node", "left")
-    by_node = by_node.select("node", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    out = each.select("doc_id", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(by_node, "node", "left")
+    linked = links.join(classes, "node", "left").join(nodes.select("node", "h"), "node")
+    linked = linked.select("node", "links", F.coalesce("component", "node").alias("component"), "h")
+    least = linked.groupBy("component").agg(F.min("h").alias("first"))
+    by_node = nodes.select("node", "h", "size").join(linked.join(least, "component").select("node", "links", "first"), "node", "left")
+    first = F.coalesce("first", "h")
+    by_node = by_node.select(
+        "node", "size", F.col("h.doc_id").alias("copy_id"), first["doc_id"].alias("class_id"), first["key"].alias("class_key"),
+        (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"),
+    )
+    by_node = cut(by_node)
+    discard(verified)
+    discard(nodes)
+    return each, by_node
+
+
+def jaccard_classes(documents: DataFrame, threshold: float = 0.8, recall: float = TARGET_RECALL) -> DataFrame:
+    """Per document: doc_id, class_id, n_links, copy_id.
+
+    copy_id stands for the documents with the same set of five-word shingles (the least doc_id of
+    them); n_links counts the other documents at Jaccard ``threshold`` or above, copies included;
+    class_id is the least doc_id of the documents that links connect. Words are runs of word
+    characters in lower case; a text of one to four words is a single shingle. Texts without words,
+    null ones included, are alone: class_id and copy_id are their doc_id, without links.
+    Every row comes back, repeated ones too (they are copies of each other). Rows without doc_id keep
+    their links; an id is then missing only if no member of the class has one. An empty table gives an
+    empty result; further columns are ignored.
+    """
+    each, by_node = _classes(documents, threshold, recall)
+    rows = each.select("doc_id", F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    out = join_by_count(rows, by_node.select("node", "size", "copy_id", "class_id", "n_links"), "node", "size")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copy_id", "doc_id").alias("copy_id"))
 
 
@@ -266,10 +297,17 @@ def _token_sets(rows: DataFrame) -> DataFrame:
 
 
 def one_of_each_class(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``documents`` without those whose class has a lesser doc_id. Columns as before.
+    """``documents`` with one row of each class: of the least doc_id (null ones last), then the least hash of the text. Columns as before.
 
-    Of rows that are equal in all columns one stays. Rows without doc_id can't be told apart, so all stay.
+    Rows that share an id, or have none, are told apart by their texts. Of rows equal in both one stays.
+    Texts without words are alone, so all of them stay.
     """
-    first = jaccard_classes(documents, threshold).where("doc_id = class_id").select("doc_id").distinct()
-    stay = documents.where("doc_id is not null").join(first, "doc_id", "left_semi").select(*documents.columns)
-    return stay.dropDuplicates().unionByName(documents.where("doc_id is null"))
+    each, by_node = _classes(documents, threshold, TARGET_RECALL)
+    lacks, known = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0))
+    first = by_node.select(F.col("class_id").alias("doc_id"), F.col("class_key").alias("key"), F.lit(False).alias("alone"))
+    alone = each.where("n = 0").select("doc_id", "key", F.lit(True).alias("alone"))
+    stay = first.union(alone).select(lacks.alias("lacks"), known.alias("known"), "key", "alone").distinct()
+    bare = documents.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("key"))  # no name can clash
+    kept = bare.select("row", lacks.alias("lacks"), known.alias("known"), "key").join(stay.hint("shuffle_hash"), ["lacks", "known", "key"])
+    once = kept.where("not alone").groupBy("lacks", "known", "key").agg(F.first("row").alias("row")).select("row")
+    return once.union(kept.where("alone").select("row")).select("row.*")

@@ -8,8 +8,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from llm_rows import ODD
+from pyspark.sql import functions as F
 
-from strandwork.llm import decontam, html_extract, jaccard_join, licenses, packing, sentence_spans, toxicity
+from strandwork.llm import common, decontam, html_extract, jaccard_join, licenses, packing, sentence_spans, toxicity
+from strandwork.llm.common import connected_components
 
 
 def prose(rng, n, vocabulary=4000):
@@ -144,16 +146,78 @@ def test_jaccard_large_group_in_blocks(make, monkeypatch):
 
 
 def test_one_of_each_class(make, none):
-    rows = near_rows(3, 4, 4, 120) + [(5000, "lone text"), (5000, "lone text"), (None, "x"), (None, "x")]
+    rng = random.Random(33)
+    shared = prose(rng, 80)
+    rows = near_rows(3, 4, 4, 120) + [(5000, "lone text"), (5000, "lone text"), (None, "x"), (None, "x"), (5001, shared), (None, shared + " more"), (5000, prose(rng, 30)),
+                                      (None, None), (None, ""), (5002, ""), (None, prose(rng, 40))]
     docs = make(rows)
     kept = jaccard_join.one_of_each_class(docs)
     assert kept.columns == docs.columns
-    first = {c for i, c, _ in brute_classes(rows) if i is not None}
-    ids = [r.doc_id for r in kept.collect()]
-    assert Counter(i for i in ids if i is not None) == Counter(first) and ids.count(None) == 2
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    by_text = Counter(t for _, t in got)
+    first = {c for i, c, _ in brute_classes(rows[:-11]) if i is not None}
+    assert {i for i, _ in got if i is not None and i < 5000} == {i for i in first if i < 5000}
+    assert by_text["x"] == by_text["lone text"] == by_text[shared] == 1 and shared + " more" not in by_text
+    assert got[5000, rows[-5][1]] == got[None, rows[-1][1]] == 1 and got[None, None] == got[None, ""] == got[5002, ""] == 1
     assert jaccard_join.jaccard_classes(none).count() == 0 and jaccard_join.one_of_each_class(none).count() == 0
 
 
+def test_recall_in_crowded_buckets(make, monkeypatch):
+    """Pairs at the threshold among many texts that share most of a passage, so that buckets overflow at every level."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", 12)
+    rng = random.Random(34)
+    passage, texts, pairs = prose(rng, 90), [], 0
+    for g in range(120):
+        own = prose(rng, 35).split()
+        texts.append(" ".join([passage, *own]))
+        if g % 2 == 0:
+            near = own[:-1] + ["y"] if g % 4 else own[:16] + ["z"] + own[17:]
+            near[4] = f"u{g}"
+            texts.append(" ".join([passage, *near]))
+            pairs += 1
+    rows = list(enumerate(texts))
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(make(rows)).collect())
+    want = brute_classes(rows)
+    linked = sum(n for *_, n in want)
+    assert linked >= pairs and sum((got & want).values()) >= 0.99 * len(rows)
+
+
+@pytest.mark.parametrize("crowd", [12, 40])
+def test_recall_of_paths(crowd):
+    """The paths alone: pairs at 0.8 exactly are found as often as runs_needed promises, at the greatest depth."""
+    runs_ = jaccard_join.runs_needed(0.8)
+    rng = np.random.default_rng(crowd)
+    lost = 0
+    for _ in range(4000):
+        same = rng.random(jaccard_join.COORDINATES) < 0.8  # coordinates on which the pair agrees
+
+        def below(depth, picks):
+            if depth == jaccard_join.MOST_DEPTH:
+                return True
+            branches = 1 if depth < jaccard_join.DEPTH else jaccard_join.BRANCHES
+            return any(same[p] and below(depth + 1, picks) for p in picks.integers(0, len(same), branches))
+
+        lost += not any(below(0, rng) for _ in range(runs_))
+    assert lost <= 8  # 0.998: the coordinates are shared by all runs, so a pair with few equal ones is lost more often
+
+
+def test_components_of_long_paths_and_hubs(spark):
+    rng = random.Random(35)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001 + i) for i in range(200)] + [(1100, 2000), (5, 5), (None, 3), (3, None)]
+    rng.shuffle(edges)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1201)} | {2000: 1000}
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_join_by_count(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 4)
+    left = spark.createDataFrame([(i, None if i % 11 == 0 else i % 5 if i < 60 else 9) for i in range(100)], "i long, k long")
+    right = left.where("k is not null and k <> 3").groupBy("k").count().withColumn("v", F.col("k") * 10)
+    got = {(r.i, r.k): r.v for r in common.join_by_count(left, right, "k", "count").collect()}
+    assert got == {(r.i, r.k): None if r.k in (None, 3) else r.k * 10 for r in left.collect()}
+
+
 def test_intersections_by_columns():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 120))) for _ in range(25)]
