@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
+import xxhash
 from llm_rows import ODD
 
 from strandwork.llm import secrets, syncmers, url_filter
@@ -54,19 +56,85 @@ def test_fingerprints_edit_and_next(spark, odd):
     assert "Python" not in plans(syncmers.fingerprints(odd)) and "Arrow" not in plans(syncmers.fingerprints(odd))
 
 
+def chained(*values):
+    """Spark's xxhash64 over strings, longs (int) and ints (a one-element tuple); nulls are passed over."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+            seed = xxhash.xxh64(data, seed).intdigest()
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute_anchors(text):
+    tokens = [w[i : i + 8] for w in re.findall(r"[^ \t\n\x0b\f\r]+", text) for i in range(0, len(w), 8)]
+    h = [chained(t) for t in tokens]
+    s = [chained(a, b) for a, b in zip(h, h[1:])]
+    found = []
+    for i in range(len(h) - 7):
+        inner = s[i : i + 7]
+        if min(inner) in (inner[0], inner[-1]):
+            found.append((i, chained(inner[0], inner[2], inner[4], inner[6])))
+    return found or [(0, chained("whole:" + text))]
+
+
+def brute_steps(anchors):
+    after = [*anchors[1:], None]
+    return {chained(h, (b[0] - i,), b[1]) if b else h and chained(h) for (i, h), b in zip(anchors, after)}
+
+
+def brute_fingerprints(rows):
+    """By the rules, one row after the other."""
+    order = sorted(((i is not None, i or 0, t or "") for i, t in rows))
+    out = Counter()
+    for k, (has, i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][2]
+        n = len(t) // 4
+        edited = t[: len(t) - n] + after[:n]
+        a, e, b = (brute_anchors(x) for x in (t, edited, after))
+        show = lambda xs: ",".join(f"{(h % (1 << 64)) >> 32:08x}@{p}" for p, h in xs)
+        like = lambda x, y: len(brute_steps(x) & brute_steps(y)) / len(brute_steps(x) | brute_steps(y))
+        out[i if has else None, len(t), hashlib.sha256(edited.encode()).hexdigest(), show(a), show(e), round(like(a, e), 9), round(like(a, b), 9)] += 1
+    return out
+
+
+def got_fingerprints(df):
+    return Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in df.collect())
+
+
+def test_fingerprints_against_brute_force(spark, make):
+    rng = random.Random(41)
+    words = lambda n: rng.choice([" ", "  ", "\n"]).join("".join(rng.choice("abcdé漢") for _ in range(rng.randrange(1, 14))) for _ in range(n))
+    core = words(40)
+    rows = ODD + [(20 + 3 * i, " ".join([words(rng.randrange(30)), core if i % 3 else "", words(rng.randrange(30))])) for i in range(60)]
+    rows += [(300, "line of words that comes again and again. " * 30), (300, "x"), (301, core), (303, core)]
+    for size in (syncmers.SLICE_BYTES, 2000):
+        assert got_fingerprints(syncmers.fingerprints(make(rows), size)) == brute_fingerprints(rows)
+    one = [(5, core)]
+    assert got_fingerprints(syncmers.fingerprints(make(one))) == brute_fingerprints(one)
+
+
+def test_equal_texts_in_different_slices(make):
+    docs = make([(i, "same words in every one of these documents, twenty in all " * 3 if i % 2 else f"filler {i} " * 40) for i in range(100)])
+    rows = syncmers.fingerprints(docs, 1000).collect()
+    assert len({r.fingerprint for r in rows if r.doc_id % 2}) == 1 and len(rows) == 100
+
+
 def test_closed_syncmers_are_context_free(spark):
-    """An anchor of a passage is an anchor wherever the passage stands."""
+    """A passage's anchors and steps are the same wherever the passage stands."""
     rng = random.Random(1)
     words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
-    core = words(60)
+    core = words(160)
     df = spark.createDataFrame([(core,), (words(30) + " " + core + " " + words(30),)], "text string")
-    a, b = (set(r.s) for r in syncmers.with_sketch(df, "text", "s", 10_000).collect())
-    assert a <= b and len(a) > 20
+    rows = syncmers.with_anchors(df, "text", "a").select("a", syncmers.steps("a").alias("s")).collect()
+    a, b = ({x.hash for x in r.a} for r in rows)
+    assert a <= b and 30 < len(a) < 60 and len(set(rows[0].s) - set(rows[1].s)) <= 1  # the last one has no next
+    assert {x.place + 30 for x in rows[0].a} <= {x.place for x in rows[1].a}
 
 
 def test_fingerprints_many_slices(make):
     docs = make([(i * 3, f"text number {i} of all") for i in range(700)])
-    rows = {r.doc_id: r for r in syncmers.fingerprints(docs).collect()}
+    rows = {r.doc_id: r for r in syncmers.fingerprints(docs, 100).collect()}
     for i in (0, 1, 350, 698, 699):
         t, after = f"text number {i} of all", f"text number {(i + 1) % 700} of all"
         n = len(t) // 4
