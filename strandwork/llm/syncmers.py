@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 K, S = 8, 2
 TOKEN = r"[^\s]{1,8}"
 #: Bytes of text in a slice of the table, slices at most, and ids sampled for each slice's bound.
-SLICE_BYTES, MOST_SLICES, FOR_EACH_CUT = 32 << 20, 65_536, 32
+SLICE_BYTES, MOST_SLICES, FOR_EACH_CUT = 4 << 20, 65_536, 32
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
