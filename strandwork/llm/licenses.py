@@ -114,7 +114,7 @@ def automaton(phrases: dict[str, tuple[str, str]]):
 
     a = ahocorasick.Automaton()
     for phrase, value in phrases.items():
-        a.add_word(f" {phrase} ", (phrase, *value))
+        a.add_word(f" {phrase} ", (len(phrase.split()), *value))
     a.make_automaton()
     return a
 
@@ -131,13 +131,16 @@ def scanner(base: dict[str, str] = BASE, own: dict[str, str] = OWN):
         of_base: set[str] = set()
         labels: dict[str, float] = {}
         tagged = False
-        for end, (phrase, kind, label) in found_in.iter(joined):
+        passed, spaces = 0, 0  # the matches' ends never go back, so all spaces are counted once
+        for end, (size, kind, label) in found_in.iter(joined):
             if kind == "tag":
                 tagged = True
                 continue
             labels[label] = max(labels.get(label, 0.0), strictness(label))
             if kind == "base":
-                at = joined.count(" ", 0, end - len(phrase) - 1)
+                spaces += joined.count(" ", passed, end)
+                passed = end
+                at = spaces - size
                 n_base += 1
                 first = at if first is None else min(first, at)
                 last = at if last is None else max(last, at)
@@ -146,7 +149,7 @@ def scanner(base: dict[str, str] = BASE, own: dict[str, str] = OWN):
             for m in _TAG.finditer(text):
                 if (value := evaluate(m.group(1))) is not None:
                     for label in value.labels:
-                        labels[label] = value.strictness
+                        labels[label] = max(labels.get(label, 0.0), value.strictness)
         return len(words), n_base, first, last, ",".join(sorted(of_base)), ",".join(sorted(labels)), max(labels.values(), default=0.0)
 
     return scan
@@ -156,8 +159,9 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Words, places and base labels are the base phrases' own; labels adds the method's phrases and the
-    identifiers of parsed expressions (in lower case). score is the strictest of the texts' licences,
-    an expression counting by its value: 0 without any, 1 for all rights reserved. A malformed
+    identifiers of parsed expressions (in lower case). score is the strictest of all notices and
+    expressions of the text, an expression counting by its value: 0 without any, 1 for all rights
+    reserved. A malformed
     expression adds nothing. A null text counts as empty: no words, no places (first_word and last_word
     null), empty labels, score 0. Repeated rows stay; further columns are ignored.
     """

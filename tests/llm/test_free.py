@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -262,6 +263,35 @@ def test_licence_expressions(text, labels, strict):
     assert value.labels == labels and value.strictness == pytest.approx(strict)
 
 
+def test_scores_never_fall_by_more_tags():
+    scan = licenses.scanner()
+    notice, strict, lax = "under the General Public License\n", "SPDX-License-Identifier: GPL-3.0-only\n", "SPDX-License-Identifier: GPL-3.0-only OR MIT\n"
+    assert scan(notice + "SPDX-License-Identifier: GPL OR MIT\n")[6] == 0.7
+    assert scan(strict + lax)[6] == scan(lax + strict)[6] == 0.7 and scan(lax)[6] == 0.1
+
+
+def test_licence_places_in_linear_time():
+    n = 100_000
+    began = time.process_time()
+    got = licenses.scanner()("cc by x " * n)
+    assert got[:4] == (3 * n, n, 0, 3 * n - 3) and time.process_time() - began < 5
+
+
+def test_base_columns_against_sql(spark):
+    """The contract's columns in SQL, over the whole table."""
+    import duckdb
+
+    table = "/root/testdata/sf0.001/documents.parquet"
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    hits = " union all ".join(f"select n, i - 1 as pos, '{label}' as label from (select n, w, unnest(range(1, len(w) + 1)) as i from d) where w[i:i + {len(p.split()) - 1}] = {p.split()}" for p, label in licenses.BASE.items())
+    want = duckdb.sql(f"""with d as (select row_number() over () as n, doc_id, {words} as w from '{table}'), h as ({hits}),
+      g as (select n, count(*) as k, min(pos) as a, max(pos) as b, string_agg(distinct label, ',' order by label) as x from h group by n)
+      select doc_id, len(w), coalesce(k, 0), a, b, coalesce(x, '') from d left join g using (n)""").fetchall()
+    got = licenses.scan_licenses(spark.read.parquet(table)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == Counter(want)
+    assert sum(r.n_base for r in got) > 0
+
+
 def test_malformed_expressions():
     assert [licenses.evaluate(x) for x in ("", "AND MIT", "(MIT", "MIT)", "MIT OR", "()", "WITH")] == [None] * 7
     scan = licenses.scanner()
