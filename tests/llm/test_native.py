@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -234,6 +235,29 @@ def test_ledger_scans_new_blobs_only(make):
     assert {r.doc_id: r.spans for r in secrets.secret_digest(more, ledger).collect()} == whole
 
 
+def test_ledger_with_repeated_blobs_and_versions(spark, make):
+    docs = make([*SECRETS, SECRETS[0], None])
+    ledger = secrets.scan_blobs(docs)
+    doubled = ledger.union(ledger).union(ledger.selectExpr("blob", "7 as version", "spans"))
+    found, full = secrets.find_secrets(docs, doubled)
+    assert found.count() == 6 and full.count() == 2 * ledger.count()
+    assert found.select("row.*").columns == docs.columns and found.where("row.blob = 'y' and row.spans = 'x'").count() == 6
+    rows = {r.doc_id: r.spans for r in secrets.secret_digest(docs, doubled).collect()}
+    assert rows == {r.doc_id: r.spans for r in secrets.secret_digest(docs, increments=1).collect()} and rows[0] and len(rows) == 6
+
+
+def test_long_text_with_many_matches(make):
+    n = 4_000
+    text = "é deadbeefdeadbeef " * n + "token=abcdefghijkl"
+    began = time.time()
+    row = secrets.secret_digest(make([text, "x"])).where("doc_id = 0").first()
+    assert (row.n_hex, row.n_assign) == (n, 1) and time.time() - began < 60
+    assert row.spans.split(",")[-2:] == [f"hex:{19 * (n - 1) + 2}:{19 * (n - 1) + 18}", f"assign:{19 * n}:{19 * n + 18}"]
+    assert hashlib.sha256(row.spans.encode()).hexdigest() == row.base_sha256
+    clean = secrets.redact(make([text])).first()
+    assert clean.text == "é [SECRET] " * n + "[SECRET]"
+
+
 def test_redact(make, odd, none):
     docs = make(SECRETS)
     out = secrets.redact(docs)
