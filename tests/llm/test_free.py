@@ -320,6 +320,72 @@ def test_html_odd_input(source):
     assert isinstance(html_extract.main_text(root), str)
 
 
+@pytest.mark.parametrize(
+    "mark",
+    """cookie-banner ad-slot advert-box related-posts social-share newsletter-signup main-menu page-header cookie_notice top-bar siteFooter comment
+    comments-area navBar sidebar-left js-promo""".split(),
+)
+def test_compound_marks(mark):
+    page = "<body><article><h1>T</h1><p>Text</p><div class='x {}'><p>Gone</p></div><p>End</p></article></body>"
+    assert html_extract.main_text(html_extract.parse(page.format(mark))) == "T\n\nText\n\nEnd"
+
+
+@pytest.mark.parametrize("mark", ["commentary", "article-header", "research", "thread", "advice", "shareholders", "uploads"])
+def test_plain_marks(mark):
+    page = f"<body><article class='{mark}'><div class='{mark}'><p>Kept</p></div></article></body>"
+    assert html_extract.main_text(html_extract.parse(page)) == "Kept"
+
+
+def test_comments_in_articles():
+    page = "<body><article><p>Text</p><article class='comment'><p>In</p></article></article><article class='user-comment'><p>Beside</p></article></body>"
+    assert html_extract.main_text(html_extract.parse(page)) == "Text"
+
+
+def test_stray_end_tags_in_linear_time():
+    began = time.process_time()
+    html_extract.parse("<div>" * 20_000 + "</span></i>" * 20_000)
+    html_extract.parse("<b>" * 20_000 + "<p>" + "<i>" * 20_000 + "<ul>" * 20_000)
+    assert time.process_time() - began < 5
+
+
+def brute_templates(rows):
+    pages = defaultdict(set)
+    for _, url, source in rows:
+        if source is not None:
+            pages[re.match(r"(?:.*?://([^/?#]*))?", url or "")[1] or ""].add(source)
+    out = set()
+    for host, sources in pages.items():
+        n = Counter()
+        for source in sources:
+            nodes = html_extract.hash_subtrees(html_extract.parse(source))
+            blocks = [x for x in nodes if x.tag in html_extract.BLOCKS and any(x.children)]
+            n.update({html_extract.signed(x.hash) for x in blocks} | {html_extract.signed(x.shape) for x in blocks if x.shape})
+        out |= {(host, h) for h, k in n.items() if k >= html_extract.LEAST_PAGES and k >= html_extract.SHARE * len(sources)}
+    return out
+
+
+@pytest.mark.parametrize("most", [html_extract.MOST_BROADCAST, 0])
+def test_templates_do_the_work(spark, monkeypatch, most):
+    """With the lists of elements and marks switched off: menus with changing words, fixed boxes and footers go by their hashes alone."""
+    monkeypatch.setattr(html_extract, "unwanted", lambda node, inside: node.tag in ("title", "script"))
+    rng = random.Random(50)
+    rows, want = [], {}
+    for i in range(60):
+        host = f"h{i % 3}.org"
+        menu = "".join(f"<li><a href='/{rng.random()}'>{prose(rng, 2)}</a></li>" for _ in range(5))
+        text = [prose(rng, 20) for _ in range(3)]
+        body = "".join(f"<div class='par'><p>{t} <a href='#'>see</a></p></div>" for t in text)
+        rows.append((i, f"http://{host}/{i}", f"<body><div class='m'><ul>{menu}</ul></div><div class='c'>{body}</div><div class='f'><p>All the same here</p></div></body>"))
+        want[i] = "\n\n".join(f"{t} see" for t in text)
+    rows += [(100, rows[0][1], rows[0][2]), (101, None, None), (102, "http://lone.org/", rows[1][2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = html_extract.templates(html_extract.subtrees(pages))
+    assert {(r.host, r.hash) for r in found.collect()} == brute_templates(rows)
+    got = {r.page_id: r.text for r in html_extract.extract(pages, most).collect()}
+    assert {i: got[i] for i in want} == want and got[100] == want[0] and got[101] == ""
+    assert "All the same here" in got[102] and len(got[102]) > len(want[1]) + 30
+
+
 def test_site_templates_go(spark):
     box = "<div class='x1'><p>Join our club today</p></div>"
     rows = [(i, f"http://h.org/{i}", f"<body><article><p>Text {i}</p>{box}</article></body>") for i in range(12)]
