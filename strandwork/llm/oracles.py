@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .secrets import RULES as SECRET_RULES
+from .url_filter import BASE, CANONICAL, DIRECTORY, HEAD, HIDDEN, REFRESH
 from .url_filter import RULES as URL_RULES
 
 
@@ -30,24 +31,41 @@ def _path(url: str) -> str:
     return f"coalesce(regexp_extract(regexp_extract({url}, '(?s)^.*?://(.*)$', 1), '^[^/?#]*([^?#]*)', 1), '')"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
 def _address(url: str) -> str:
-    plain = f"regexp_extract({url}, '(?s)^[^#]*', 0)"
-    head = f"regexp_extract({plain}, '(?s)^.*?://[^/?]*', 0)"
-    return f"(case when {head} <> '' then translate({head}, '{_UPPER}', '{_LOWER}') || substr({plain}, len({head}) + 1) end)"
+    path = _let("path", "regexp_extract(rest, '(?s)^[^?]*', 0)", f"{_without_dots('path')} || substr(rest, len(path) + 1)")
+    rest = _let("rest", "substr(plain, len(head) + 1)", f"case when contains(rest, '/.') then {path} else rest end")
+    head = _let("head", f"regexp_extract(plain, {_quoted(HEAD)}, 0)", f"case when head <> '' then translate(head, '{_UPPER}', '{_LOWER}') || {rest} end")
+    return _let("plain", f"regexp_extract({url}, '(?s)^[^#]*', 0)", head)
+
+
+def _without_dots(path: str) -> str:
+    step = "case when x[1] = '..' then case when len(acc) > 1 then acc[1:len(acc) - 1] else acc end when x[1] = '.' then acc else list_concat(acc, x) end"
+    walked = f"list_reduce(list_transform(string_split({path}, '/'), lambda p: [p]), lambda acc, x: {step}, cast([] as varchar[]))"
+    return f"array_to_string({walked}, '/') || case when regexp_matches({path}, '/[.][.]?$') then '/' else '' end"
+
+
+def _resolved(t: str, base: str) -> str:
+    full = f"""case when regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*:') then {t} when starts_with({t}, '//') then regexp_extract({base}, '(?s)^.*?:', 0) || {t}
+      when starts_with({t}, '/') then regexp_extract({base}, {_quoted(HEAD)}, 0) || {t} when starts_with({t}, '#') then {base} when starts_with({t}, '?') then regexp_extract({base}, '(?s)^[^?]*', 0) || {t}
+      when regexp_matches({base}, {_quoted(DIRECTORY)}) then regexp_extract({base}, {_quoted(DIRECTORY)}, 0) || {t} else regexp_extract({base}, {_quoted(HEAD)}, 0) || '/' || {t} end"""
+    return _address(f"({full})")
 
 
-def _target(tag: str, mark: str, value: str) -> str:
-    """The first tag that carries the mark and a value."""
-    hits = f"list_filter(regexp_extract_all(html, {_quoted(f'(?is)<{tag}[^>]*')}, 0), lambda x: regexp_matches(x, {_quoted('(?is)' + mark)}) and regexp_matches(x, {_quoted('(?is)' + value)}))"
-    return f"regexp_extract({hits}[1], {_quoted('(?is)' + value)}, 1)"
+def _targets(kind: tuple[str, str, str]) -> str:
+    """The addresses in all tags of a kind."""
+    tag, mark, value = map(_quoted, kind)
+    return f"list_transform(list_filter(regexp_extract_all(html, {tag}, 0), lambda x: regexp_matches(x, {mark}) and regexp_matches(x, {value})), lambda x: regexp_extract(x, {value}, 1))"
 
 
 OP5 = f"""with recursive p as (select page_id, url, html, {_host('url')} as host, {_path('url')} as path, {_address('url')} as addr from pages),
-  t as (select addr as u, regexp_extract(addr, '^.*?://[^/?]*', 0) as head, unnest([
-    {_target('link', r"""\brel\s*=\s*["']?canonical\b""", r"""\bhref\s*=\s*["']?([^"'\s>]+)""")},
-    {_target('meta', r"""\bhttp-equiv\s*=\s*["']?refresh\b""", r"""\burl\s*=\s*["']?([^"'\s>]+)""")}]) as t from p where html is not null and addr is not null),
-  x as (select u, case when starts_with(t, '//') then regexp_extract(head, '^[^/]*', 0) || t when starts_with(t, '/') then head || t else t end as t from t where t <> ''),
-  e as (select u, {_address('t')} as v from x), b as (select u, v from e where u <> v union select v, u from e where u <> v),
+  h as (select addr as u, regexp_replace(html, {_quoted(HIDDEN)}, ' ', 'g') as html from p where html is not null and addr is not null and (contains(lower(html), 'canonical') or contains(lower(html), 'http-equiv'))),
+  f as (select u, html, {_targets(BASE)}[1] as b from h), x as (select u, html, coalesce({_resolved('b', 'u')}, u) as base from f),
+  t as (select u, base, unnest(list_concat({_targets(CANONICAL)}, {_targets(REFRESH)})) as t from x),
+  e as (select u, {_resolved('t', 'base')} as v from t), b as (select u, v from e where u <> v union select v, u from e where u <> v),
   reach(node, other) as (select u, u from b union select r.node, b.v from reach r join b on r.other = b.u),
   c as (select node, min(other) as component from reach group by node),
   s as (select component, min({_case('verdict', _host('node'), _path('node'))}) as spread from c group by component),

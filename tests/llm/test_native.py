@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from llm_rows import ODD
 
-from strandwork.llm import secrets, syncmers, url_filter
+from strandwork.llm import oracles, secrets, syncmers, url_filter
 from strandwork.llm.common import connected_components
 
 
@@ -191,6 +191,45 @@ def test_url_aliases(spark):
     assert url_filter.url_verdicts(pages_of(spark, rows).limit(0)).count() == 0
 
 
+def test_links_of_every_kind(spark):
+    """Comments and scripts name nothing; relative targets, base elements and all tags count."""
+    rows = [
+        ("http://a.org/x/1?q", '<!-- <link rel="canonical" href="http://b.net/es/1"> --><script>"<link rel=canonical href=http://b.net/es/1>"</script>'),
+        ("http://A.org/x/2", '<link rel=canonical href="../y/./3">'),
+        ("http://a.org/x/4", '<base href="/deep/er/"><LINK HREF=\'p?x=1\' REL="alternate canonical">'),
+        ("http://a.org/x/5", '<link rel="canonical" href="one"><link rel="canonical" href="//c.org/two"><meta http-equiv=refresh content="0;url=?three">'),
+        ("http://a.org", '<link rel="canonical" href="en/"><link rel="next" href="http://d.org/">'),
+        ("http://a.org/x/6", '<link rel="canonical" href="mailto:x"><link rel=canonical href="#top"><link rel=canonical href="../../../z/..">'),
+        ("http://a.org/x/7", "<link rel=canonical href=/fr/../en/#f"), (None, "<link rel=canonical href=/a>"), ("odd", "<link rel=canonical href=/a>"), ("http://a.org/x/8", None),
+    ]
+    pages = pages_of(spark, rows + rows[1:2])
+    got = Counter((r.u, r.v) for r in url_filter.links(pages).collect())
+    want = [
+        ("http://a.org/x/2", "http://a.org/y/3"), ("http://a.org/x/2", "http://a.org/y/3"), ("http://a.org/x/4", "http://a.org/deep/er/p?x=1"), ("http://a.org/x/5", "http://a.org/x/one"),
+        ("http://a.org/x/5", "http://c.org/two"), ("http://a.org/x/5", "http://a.org/x/5?three"), ("http://a.org", "http://a.org/en/"), ("http://a.org/x/6", "http://a.org/x/6"),
+        ("http://a.org/x/6", "http://a.org/"), ("http://a.org/x/7", "http://a.org/en/"),
+    ]
+    assert got == Counter(want)
+
+
+def test_url_twin_where_links_decide(spark, tmp_path):
+    import duckdb
+
+    link = '<html><!-- <link rel="canonical" href="http://b.net/es/0"> --><link rel="canonical" href="{}"></html>'
+    rng = random.Random(60)
+    hosts = ["a.org", "b.net", "www.example.com", "Example.com", "c.org"]
+    url = lambda: f"http://{rng.choice(hosts)}/{rng.choice(['en', 'es', 'fr', 'x/y'])}/{rng.randrange(9)}"
+    target = lambda: rng.choice([url(), "../" + str(rng.randrange(9)), "/es/./" + str(rng.randrange(9)), "//c.org/fr/../x/1", "?a", ""])
+    rows = [(url(), link.format(target()) if rng.random() < 0.7 else None) for _ in range(150)] + [(None, None), ("odd", ""), ("", "")]
+    pages = pages_of(spark, rows + rows[:9])
+    pages.select("page_id", "url", "html").toPandas().to_parquet(tmp_path / "pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet'")
+    want = Counter(db.execute(oracles.OP5).fetchall())
+    got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict, r.via) for r in url_filter.url_verdicts(pages).collect())
+    assert got == want and sum(n for r, n in got.items() if r[5] == "alias") > 10
+
+
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
