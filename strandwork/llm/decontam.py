@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-TERMS, RANK, COLUMNS, PASSAGE = 4096, 64, 72, 32
+TERMS, RANK, COLUMNS, PASSAGE = 4096, 48, 56, 32
 WINDOWS = (12, 24, 48)  # each twice the one before, and four strides of a multiple of three words
 SHORT = 8  # items of fewer words have no windows: they are searched as runs of words
 WHOLE = 3  # items of fewer words leak only as whole texts
