@@ -3,7 +3,8 @@
 Texts are sets of hashed five-word shingles. Equal sets are one node from the start. A path splits
 nodes on a token that they share: the smallest shingle under a hash function, which the path itself
 picks. Buckets that stay small are compared by brute force; larger ones are split further, each time
-by BRANCHES tokens, so that a pair whose bucket is crowded is lost no more often than another. Runs
+by BRANCHES tokens, so that a pair whose bucket is crowded is lost no more often than another. A
+crowded bucket that a token leaves nearly whole is verified as one group in place of that. Runs
 repeat with other hash functions until a pair at the threshold is found with the target recall.
 
 What a bucket brings together is not counted there. It joins candidate groups, and each group is
@@ -25,6 +26,8 @@ from .common import connected_components, cut, discard, in_arrow, join_by_count,
 from .shingles import WordHashes, shingle_set
 
 COORDINATES, DEPTH, MOST_DEPTH, BUCKET, BRANCHES = 64, 2, 6, 128, 2
+#: A crowded bucket of which one token keeps so large a part together isn't split further: it is alike throughout.
+ALIKE = 0.85
 #: A verified group is cut into blocks of about so many nodes, and so many tokens at most.
 BLOCK, BLOCK_TOKENS = 1024, 1_000_000
 TARGET_RECALL = 0.9999
@@ -123,7 +126,7 @@ def _candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataF
     rows = nodes.select("node", "n", "sig", start.alias("run")).withColumn("path", F.xxhash64("run"))
     for _ in range(DEPTH):
         rows = rows.withColumn("path", _next_path(F.col("path")))
-    rows = rows.select("node", "path")
+    rows = rows.select("node", "path", F.lit(None).cast("long").alias("held"))  # held: nodes of the bucket that was split
     small, dense, old = None, None, None
     for depth in range(DEPTH, MOST_DEPTH + 1):
         rows = cut(rows)
@@ -132,15 +135,16 @@ def _candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataF
         sized = cut(rows.join(sizes, "path"))
         fits = sized.where(F.col("size") <= BUCKET).select("node", "path")
         small = fits if small is None else small.union(fits)
-        large = sized.where(F.col("size") > BUCKET).select("node", "path")
+        large = sized.where(F.col("size") > BUCKET)
+        alike = F.lit(depth == MOST_DEPTH) | F.coalesce(F.col("size") >= ALIKE * F.col("held"), F.lit(False))
+        kept = large.where(alike).select("node", "path")
+        dense = kept if dense is None else dense.union(kept)
         old = rows
-        if large.isEmpty():
-            break
-        if depth == MOST_DEPTH:
-            dense = large
+        large = large.where(~alike).select("node", "path", F.col("size").alias("held"))
+        if depth == MOST_DEPTH or large.isEmpty():
             break
         split = F.explode(F.array(*(_next_path(F.col("path"), i) for i in range(BRANCHES))))
-        rows = large.join(nodes.select("node", "sig"), "node").select("node", split.alias("path"))
+        rows = large.join(nodes.select("node", "sig"), "node").select("node", split.alias("path"), "held")
 
     def brute(batches):
         for t in runs(batches, ["path"]):
@@ -155,10 +159,9 @@ def _candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataF
 
     with_sig = small.join(nodes.select("node", "n", "sig"), "node")
     edges = with_sig.repartition("path").sortWithinPartitions("path", "node").mapInArrow(brute, "u long, v long")
-    if dense is not None:
-        # What shares six sampled tokens and still fills a bucket is alike throughout: it goes to verification as one group.
-        center = dense.groupBy("path").agg(F.min("node").alias("v"))
-        edges = edges.union(dense.join(center, "path").where("node <> v").select(F.col("node").alias("u"), "v"))
+    # What stays together however it is split, or shares six sampled tokens and still fills a bucket, goes to verification as one group.
+    center = dense.groupBy("path").agg(F.min("node").alias("v"))
+    edges = edges.union(dense.join(center, "path").where("node <> v").select(F.col("node").alias("u"), "v"))
     return edges.distinct()
 
 
