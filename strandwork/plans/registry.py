@@ -264,10 +264,10 @@ KMERS = f"""{v.SEQUENCES}, v_k as (select lang as reference, 'a' as mod_type, su
 
 
 def _kmers(spark, sf_dir, k):
-    """Counts of all k-mers by language: the pieces of each sequence are cut by a built-in sequence, not by a loop."""
+    """Counts of all k-mers by language: one pass along each sequence, by a look-ahead that consumes nothing."""
     s = v.sequences(spark, sf_dir).where(F.length("seq") >= k)
-    at = s.select("lang", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - (k - 1))).alias("i"))
-    return at.groupBy(F.col("lang").alias("reference"), F.lit("a").alias("mod_type"), F.substring(F.col("seq"), F.col("i"), F.lit(k)).alias("motif_iupac")).agg(F.count("*").alias("n_mod"))
+    motif = F.explode(F.regexp_extract_all("seq", F.lit(f"(?=(.{{{k}}}))"), F.lit(1)))
+    return s.select(F.col("lang").alias("reference"), F.lit("a").alias("mod_type"), motif.alias("motif_iupac")).groupBy("reference", "mod_type", "motif_iupac").agg(F.count("*").alias("n_mod"))
 
 
 @query(f"""with {KMERS.format(k=4)} select a.reference, a.mod_type, a.motif_iupac, a.n_mod, b.motif_iupac as motif_iupac_complement, b.n_mod as n_mod_complement
