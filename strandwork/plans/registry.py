@@ -401,7 +401,7 @@ def q_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Discovery per language on adenines whose GATC sites are methylated."""
-    s = v.sequences(spark, sf_dir).where(F.length("seq") > 50)
+    s = v.sequences(spark, sf_dir)
     a = v.adenine_pileup(spark, sf_dir).select("contig", "position", "mod_type", "strand", "Nvalid_cov")
     sites = pileup.motif_hits(s, [Motif.read("GATC", 1)]).select("contig", "strand", "position", F.lit(1.0).alias("site"))
     p = a.join(sites, ["contig", "strand", "position"], "left").withColumn("fraction_mod", F.coalesce("site", F.lit(0.05))).drop("site")
