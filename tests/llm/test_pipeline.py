@@ -46,6 +46,20 @@ def test_stages(spark, make, tmp_path):
     assert corpus_pipeline.run(spark, d).count() == spark.read.parquet(f"{d}/{len(corpus_pipeline.STAGES) - 1}").count()
 
 
+def test_empty_documents_and_rows_without_ids(spark, make, none, tmp_path):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    bench = "the only benchmark item that there is in this small table of one row"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    none.select(*columns).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    plain = "some words that no other document in this corpus has at all"
+    rows = [(None, bench), (None, plain), (None, plain), (5, "first text of a shared id"), (5, "second text, of the same id"), (None, "token = abcdefghijkl0123")]
+    make(rows).select(*columns).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.piece) for r in got) == [(0, 0), (0, 0), (5, 0), (5, 0)]
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
