@@ -41,14 +41,13 @@ def positions(seq: Column, motif: str) -> Column:
     return find(seq)
 
 
-def literal_positions(seq: Column, sub: str) -> Column:
-    return positions(seq, re.escape(sub))
+def pieces(seq: Column, size: int, overlap: int) -> Column:
+    """The sequence as an array of pieces: the i-th begins at i * size and runs ``overlap`` bases into the next. Linear in its length."""
+    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{1,{size + overlap}}})).{{1,{size}}}"), F.lit(1))
 
 
-def window_at(seq: Column, index: Column, padding: int) -> Column:
-    """The 2 * padding + 1 bases around ``index``; null where they don't lie well inside the sequence."""
-    inside = (index > padding) & (index < F.length(seq) - padding)
-    return F.when(inside, F.substring(seq, index - padding + 1, F.lit(2 * padding + 1)))
+def literal_positions(seq: Column, sub: str) -> Column:
+    return positions(seq, re.escape(sub))
 
 
 def iupac_to_regex(c: Column) -> Column:

@@ -14,19 +14,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.constants import BASES, CANONICAL, HIGH, LOW
-from ..functions.motif import ANY, Motif, mergeable
-from ..functions.seqfn import motif_type, regex_to_iupac, reverse_complement
-from .pileup import enough_occurrences
+from ..functions.motif import ANY, BASE_MASKS, Motif, mergeable
+from ..functions.seqfn import motif_type, regex_to_iupac
+from .pileup import enough_occurrences, windows_around
 from .postprocess import join_complements, without_sub_motifs
 
-_CODE = np.zeros(256, np.uint8)
-for _i, _b in enumerate("ACGT"):
-    _CODE[ord(_b)] = 1 << _i
 _AXES = [1 << "ACGT".index(b) for b in BASES]
 
 
@@ -56,21 +53,11 @@ class Settings:
             raise ValueError("the frame and the divergence must be positive, the score not negative")
 
 
-def padded_window(seq: Column, at: Column, padding: int) -> Column:
-    """The bases around ``at``; places outside the sequence are dashes, which no motif fits."""
-    left = F.greatest(F.lit(padding) - at, F.lit(0))
-    width = 2 * padding + 1
-    core = F.substring(seq, F.greatest(at - padding, F.lit(0)) + 1, F.lit(width) - left)
-    return F.rpad(F.concat(F.repeat(F.lit("-"), left), core), width, "-")
-
-
 def confident_windows(pileup: DataFrame, assembly: DataFrame, settings: Settings) -> DataFrame:
     """(bin, mod_type, window, state): state 1 methylated, 0 unmethylated; minus-strand windows are reverse-complemented."""
     state = F.when(F.col("fraction_mod") >= settings.high, 1).when(F.col("fraction_mod") <= settings.low, 0)
     rows = pileup.select("bin", "mod_type", "contig", "position", "strand", state.alias("state")).where("state is not null")
-    rows = rows.join(assembly.select("contig", "seq"), "contig")
-    w = padded_window(F.col("seq"), F.col("position").cast("int"), settings.padding)
-    return rows.select("bin", "mod_type", F.when(F.col("strand") == "-", reverse_complement(w)).otherwise(w).alias("window"), "state")
+    return windows_around(rows, assembly, settings.padding).select("bin", "mod_type", "window", "state")
 
 
 def background_windows(pileup: DataFrame, assembly: DataFrame, settings: Settings) -> DataFrame:
@@ -96,7 +83,7 @@ def encoded(windows: pd.Series, width: int) -> np.ndarray:
     """Base masks by window and place, laid out by place: the search reads whole columns."""
     if not len(windows):
         return np.zeros((0, width), np.uint8)
-    return np.asfortranarray(_CODE[np.frombuffer("".join(windows).encode(), np.uint8)].reshape(-1, width))
+    return np.asfortranarray(BASE_MASKS[np.frombuffer("".join(windows).encode(), np.uint8)].reshape(-1, width))
 
 
 def frequencies(windows: np.ndarray) -> np.ndarray:

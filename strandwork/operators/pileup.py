@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import HIGH, LOW, PRIOR
-from ..functions.motif import Motif
-from ..functions.seqfn import positions
+from ..functions.motif import ANY, BASE_MASKS, Motif
+from ..functions.seqfn import pieces, reverse_complement
 
 
 def covered(pileup: DataFrame, least: int = 5) -> DataFrame:
@@ -54,18 +56,42 @@ def split_confident(fraction: Column, high: float = HIGH, low: float = LOW) -> t
     return fraction >= high, fraction <= low
 
 
-def motif_hits(assembly: DataFrame, motifs: list[Motif]) -> DataFrame:
-    """(contig, motif, mod_position, strand, position) of the modified base of each occurrence on both strands."""
-    parts = []
-    for m in motifs:
-        bare = m.stripped()
-        for strand, x in (("+", bare), ("-", bare.reverse_complement())):
-            found = assembly.select("contig", F.explode(positions(F.col("seq"), x.text)).alias("start"))
-            parts.append(found.select("contig", F.lit(m.text).alias("motif"), F.lit(m.position).alias("mod_position"), F.lit(strand).alias("strand"), (F.col("start") + x.position).cast("long").alias("position")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def motif_hits(assembly: DataFrame, motifs: list[Motif], size: int = 4096) -> DataFrame:
+    """(contig, motif, mod_position, strand, position) of the modified base of each occurrence on both strands.
+
+    One pass over pieces of the sequences for all motifs: a base is a bit, and a motif fits where each of its
+    fixed places shares a bit with the sequence. A motif of an empty list has no hits.
+    """
+    forms = [(m.text, m.position, strand, x) for m in motifs for strand, x in (("+", m.stripped()), ("-", m.stripped().reverse_complement()))]
+    longest = max((len(x) for *_, x in forms), default=1)
+    patterns = [(tuple(x.sets), x.position) for *_, x in forms]
+
+    def run(batches):
+        for b in batches:
+            lengths = b["text"].str.len().to_numpy()
+            starts = np.concatenate(([0], np.cumsum(lengths + longest)))
+            codes = BASE_MASKS[np.frombuffer("".join(t + "-" * longest for t in b["text"]).encode("latin-1", "replace"), np.uint8)]
+            contigs, begins = b["contig"].to_numpy(), b["piece"].to_numpy(np.int64) * size
+            for k, (sets, position) in enumerate(patterns):
+                fits = np.ones(max(len(codes) - len(sets) + 1, 0), bool)
+                for i, s in enumerate(sets):
+                    if s != ANY:
+                        fits &= (codes[i : i + len(fits)] & s) != 0
+                hits = np.flatnonzero(fits)
+                row = np.searchsorted(starts, hits, "right") - 1
+                at = hits - starts[row]
+                own = (at < size) & (at + len(sets) <= lengths[row])
+                row, at = row[own], at[own]
+                if len(row):
+                    yield pd.DataFrame({"contig": contigs[row], "form": np.int32(k), "position": begins[row] + at + position})
+
+    cut = assembly.select("contig", F.posexplode(pieces(F.col("seq"), size, longest)).alias("piece", "text")).repartition("contig", "piece")
+    found = cut.mapInPandas(run, "contig string, form int, position long")
+    form = lambda values, kind: F.get(F.array(*(F.lit(x) for x in values)).cast(f"array<{kind}>"), F.col("form"))
+    return found.select(
+        "contig", form([f[0] for f in forms], "string").alias("motif"), form([f[1] for f in forms], "int").alias("mod_position"),
+        form([f[2] for f in forms], "string").alias("strand"), "position",
+    )
 
 
 def motif_counts(pileup: DataFrame, hits: DataFrame, keys: list[str], high: float = HIGH, low: float = LOW) -> DataFrame:
@@ -113,12 +139,24 @@ def enough_occurrences(motifs: DataFrame, least: int = 50) -> DataFrame:
     return motifs.where(F.col("n_mod") + F.col("n_nomod") >= least)
 
 
-def windows_at(rows: DataFrame, padding: int) -> DataFrame:
-    """``rows`` (seq, position, strand) with window: the bases around the position, reverse-complemented on the - strand."""
-    from ..functions.seqfn import reverse_complement, window_at
+def windows_around(rows: DataFrame, assembly: DataFrame, padding: int, size: int = 1024) -> DataFrame:
+    """``rows`` (contig, position, strand) with window, the bases around the position, and length, that of the contig.
+
+    Places outside the sequence are dashes; windows of the - strand are reverse-complemented; positions outside
+    the sequence are left out. Rows meet pieces of the sequence, so none of them carries all of it.
+    """
+    margin = F.lit("-" * padding)
+    cut = assembly.select("contig", F.length("seq").alias("length"), F.posexplode(pieces(F.concat(margin, "seq", margin), size, 2 * padding)).alias("_piece", "_text"))
+    at = F.col("position")
+    near = rows.withColumn("_piece", F.floor(at / F.lit(size)).cast("int")).join(cut, ["contig", "_piece"]).where((at >= 0) & (at < F.col("length")))
+    w = F.substring(F.col("_text"), (F.pmod(at, F.lit(size)) + 1).cast("int"), F.lit(2 * padding + 1))
+    return near.withColumn("window", F.when(F.col("strand") == "-", reverse_complement(w)).otherwise(w)).drop("_piece", "_text")
 
-    w = window_at(F.col("seq"), F.col("position"), padding)
-    return rows.withColumn("window", F.when(F.col("strand") == "-", reverse_complement(w)).otherwise(w)).where("window is not null").drop("seq")
+
+def windows_at(rows: DataFrame, assembly: DataFrame, padding: int) -> DataFrame:
+    """``rows`` with window where it lies well inside the sequence: more than ``padding`` bases on either side."""
+    at = F.col("position")
+    return windows_around(rows, assembly, padding).where((at > padding) & (at < F.col("length") - padding)).drop("length")
 
 
 def sample_per_key(rows: DataFrame, key: str, order: list[str], n: Column | int, seed: int = 42) -> DataFrame:

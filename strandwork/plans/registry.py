@@ -110,8 +110,8 @@ WINDOWS = f"""{v.SEQUENCES}, {HITS}, v_win as (select lang, contig, motif, stran
 
 
 def _windows(spark, sf_dir):
-    rows = _hits(spark, sf_dir).join(v.sequences(spark, sf_dir), "contig").withColumn("position", F.col("position").cast("int"))
-    return pileup.windows_at(rows, 5).withColumn("position", F.col("position").cast("long"))
+    s = v.sequences(spark, sf_dir)
+    return pileup.windows_at(pileup.motif_hits(s, MOTIFS), s, 5).join(s.select("contig", "lang"), "contig")
 
 
 @query(f"with {WINDOWS} select contig, motif, strand, position, win as \"window\" from v_win")

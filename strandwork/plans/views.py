@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.seqfn import positions
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,10 +40,9 @@ def event_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adenine_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """contig, bin, lang, position, mod_type, strand, fraction_mod, Nvalid_cov at every A of both strands of ``sequences``."""
     s = sequences(spark, sf_dir)
-    plus = s.select("contig", "bin", "lang", F.lit("+").alias("strand"), F.explode(positions(F.col("seq"), "A")).alias("at"))
-    minus = s.select("contig", "bin", "lang", F.lit("-").alias("strand"), F.explode(positions(F.col("seq"), "T")).alias("at"))
+    bases = s.select("contig", "bin", "lang", F.posexplode(F.split("seq", "")).alias("at", "base")).where(F.col("base").isin("A", "T"))
     key = F.col("contig").cast("long")
-    both = plus.union(minus).withColumn("position", F.col("at").cast("long"))
+    both = bases.withColumns({"position": F.col("at").cast("long"), "strand": F.when(F.col("base") == "A", "+").otherwise("-")})
     return both.select(
         "contig", "bin", "lang", "position", F.lit("a").alias("mod_type"), "strand",
         (F.pmod(key * 31 + F.col("position") * 17, F.lit(101)) / 100.0).alias("fraction_mod"), F.pmod(key * 7 + F.col("position") * 13, F.lit(40)).alias("Nvalid_cov"),
