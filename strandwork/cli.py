@@ -1,16 +1,16 @@
-"""Command line: motif_discovery, detect_contamination, include_contigs, link_motifs, check_installation."""
+"""Command line: motif_discovery, detect_contamination, include_contigs, link_motifs, index_pileup, check_installation."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import logging
-import random
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import datasets
 from .functions.motif import Motif
 from .operators import binning, discover, linker, pileup
 from .sources import fasta, tables
@@ -36,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--extension", default="fasta")
         return p
 
+    # Names and defaults of the options are fixed values: users' scripts pass them.
     p = command("motif_discovery")
     p.add_argument("assembly")
     p.add_argument("pileup")
@@ -46,6 +47,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--min_motif_score", type=float, default=1.5)
     p.add_argument("--threshold_valid_coverage", type=int, default=5)
     p.add_argument("--min_motifs_bin", type=int, default=50)
+    p.add_argument("--save_graphs", action="store_true", help="write each search's motif graph")
+    p.add_argument("--debug", action="store_true", help="write the background windows and their position matrix")
     for name in ("detect_contamination", "include_contigs"):
         p = command(name)
         p.add_argument("--assembly", required=True)
@@ -67,6 +70,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--identity", type=float, default=80)
     p.add_argument("--qcovs", type=float, default=80)
     p.add_argument("--minimum_motif_methylation", type=float, default=0.5)
+    command("index_pileup", bins=False).add_argument("pileup")
     command("check_installation", bins=False)
     return top
 
@@ -90,26 +94,43 @@ def motif_discovery(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     )
     assembly = fasta.read_fasta(spark, args.assembly, trim=" ")
     bins = pileup.known_bins(_bins(spark, args), assembly)
-    rows = pileup.covered(pileups.read_pileup(spark, args.pileup), args.threshold_valid_coverage)
+    rows = pileup.covered(pileups.pileup_of(spark, args.pileup, bins), args.threshold_valid_coverage)
     rows = pileup.without_neighbours(pileup.often_modified(rows))
     found = discover.discover_motifs(rows, assembly, bins, settings)
     tables.write_motifs(found, f"{args.out}/bin-motifs.tsv")
+    if args.save_graphs:
+        folder = Path(args.out) / "graphs"
+        folder.mkdir(exist_ok=True)
+        for g in discover.motif_graphs(rows, assembly, bins, settings).toLocalIterator():  # one genome's graph at a time
+            tables.write_graph([n.asDict() for n in g.nodes], [(e.parent, e.child) for e in g.edges], f"{folder}/{g.reference}_{g.mod_type}.gml")
+    if args.debug:
+        back = discover.background_windows(rows.join(bins.select("contig", "bin"), "contig"), assembly, settings)
+        tables.write_tsv(back.select("bin", "mod_type", "window"), f"{args.out}/background_windows.tsv", order=["bin", "mod_type", "window"])
+        tables.write_tsv(pileup.position_matrix(back, ["bin", "mod_type"]), f"{args.out}/background_frequencies.tsv", order=["bin", "mod_type", "pos", "base"])
     return found
 
 
+def index_command(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    pileups.index_pileup(pileups.read_pileup(spark, args.pileup), f"{args.out}/pileup_index")
+    return spark.read.parquet(f"{args.out}/pileup_index")
+
+
 def _methylation(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     motifs = tables.read_tsv(spark, args.bin_motifs).select("motif", "mod_type", "mod_position").distinct().collect()  # a motif table is small
 
     def make() -> DataFrame:
-        assembly, parts = fasta.read_fasta(spark, args.assembly, trim=" "), None
-        for m in motifs:
-            h = pileup.motif_hits(assembly, [Motif.read_iupac(m.motif, int(m.mod_position))]).withColumn("mod_type", F.lit(str(m.mod_type))).withColumn("motif", F.lit(m.motif))
-            parts = h if parts is None else parts.unionByName(h)
+        read = [(m.motif, str(m.mod_type), Motif.read_iupac(m.motif, int(m.mod_position))) for m in motifs]
+        assembly = fasta.read_fasta(spark, args.assembly, trim=" ")
+        hits = pileup.motif_hits(assembly, list(dict.fromkeys(x for *_, x in read))).withColumnRenamed("motif", "text")
+        names = spark.createDataFrame([(x.text, x.position, name, mod) for name, mod, x in read], "text string, mod_position int, motif string, mod_type string")
+        parts = hits.join(names, ["text", "mod_position"]).drop("text")
         raw = pileups.read_raw(spark, args.pileup)
         rows = pileups.logical(raw).withColumn("n_diff", F.lit(0)) if "column_17" not in raw.columns else raw.select(*_logical_with_diff())
         return pileup.contig_methylation(rows, parts, args.methylation_output_type, args.min_valid_read_coverage, "n_diff")
 
-    return pileup.enough_evidence(tables.cached(spark, f"{args.out}/contig_methylation.parquet", make, args.force), args.methylation_threshold)
+    inputs = {k: getattr(args, k) for k in ("assembly", "pileup", "bin_motifs", "min_valid_read_coverage", "methylation_output_type")}
+    path = f"{args.out}/motifs-scored-read-methylation_{args.methylation_output_type}.tsv"
+    return pileup.enough_evidence(tables.cached_tsv(spark, path, tables.METHYLATION_SCHEMA, make, inputs, args.force), args.methylation_threshold)
 
 
 def _logical_with_diff() -> list:
@@ -140,9 +161,10 @@ def bin_command(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         include = binning.include_contigs(methylation, bins, contamination, args.mean_model_confidence)
         tables.write_tsv(include, f"{args.out}/include_contigs.tsv")
     new = binning.new_contig_bins(bins, contamination, include)
-    tables.write_tsv(new, f"{args.out}/new_contig_bin.tsv")
+    name = "decontaminated_contig_bin.tsv" if args.command == "detect_contamination" else "new_contig_bin.tsv"
+    tables.write_tsv(new, f"{args.out}/{name}", order=["bin", "contig"])
     if args.write_bins:
-        fasta.write_bins(new, assembly, f"{args.out}/bins")
+        fasta.write_bins(new, assembly, f"{args.out}/{args.command}_bins")
     return new
 
 
@@ -159,18 +181,14 @@ def link_command(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFra
 
 
 def check_installation(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    """Discovery on a made-up genome whose GATC sites are methylated."""
-    rng = random.Random(args.seed)
-    seq = "".join(rng.choice("ACGT") for _ in range(40_000))
-    assembly = spark.createDataFrame([("c1", seq)], "contig string, seq string")
-    sites = {i + 1 for i in range(len(seq) - 3) if seq[i : i + 4] == "GATC"}
-    rows = [("c1", i, "a", "+", 0.95 if i in sites else 0.02, 30) for i, b in enumerate(seq) if b == "A"]
-    found = discover.discover_motifs(spark.createDataFrame(rows, pileups.PILEUP_SCHEMA), assembly, spark.createDataFrame([("c1", "b1")], "contig string, bin string"))
+    """Discovery on made-up genomes whose motifs are known."""
+    made = datasets.write_smoke_data(f"{args.out}/smoke", seed=args.seed)
+    found = motif_discovery(spark, parser().parse_args(["motif_discovery", made["assembly"], made["pileup"], "--contig_bin", made["contig_bin"], "--out", args.out, "--min_motifs_bin", "20"]))
     log.info("found %s", [r.motif for r in found.select("motif").collect()])
     return found
 
 
-COMMANDS = {"motif_discovery": motif_discovery, "detect_contamination": bin_command, "include_contigs": bin_command, "link_motifs": link_command, "check_installation": check_installation}
+COMMANDS = {"motif_discovery": motif_discovery, "detect_contamination": bin_command, "include_contigs": bin_command, "link_motifs": link_command, "index_pileup": index_command, "check_installation": check_installation}
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -101,5 +101,43 @@ def has_run(c: Column, runs: int, length: int, character: str) -> Column:
     return F.regexp_count(c, F.lit(f"{re.escape(character)}{{{length},}}")) >= runs
 
 
+def length_order(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: sequences are ordered by length; joined and repeated ones are ``concat`` and ``repeat``."""
+    return F.signum(F.length(a) - F.length(b)).cast("int")
+
+
+def begins_with(seq: Column, pattern: str) -> Column:
+    """Whether the pattern matches at the start; its negation drops matches."""
+    return seq.rlike(f"^(?:{pattern})")
+
+
+def fits(window: Column, motif: str) -> Column:
+    """Whether each base of the window is in the motif's set; N, which stands for all bases, fits only wildcards."""
+    return window.rlike(f"^(?:{motif})$")
+
+
+def match_length(pattern: Column) -> Column:
+    """Length of the pattern where all from the first opening to the last closing bracket counts as one."""
+    return F.length(F.regexp_replace(pattern, r"\[.*\]", "."))
+
+
+def equal_lengths(c: Column) -> Column:
+    """Aggregate: whether all lengths are equal; true of no rows."""
+    return F.coalesce(F.min(F.length(c)) == F.max(F.length(c)), F.lit(True))
+
+
+def contig_of(bin_contig: Column, contig_bin: Column) -> Column:
+    """The name without its first ``<bin>_``; unchanged if the bin is null."""
+    prefix = F.concat(contig_bin, F.lit("_"))
+    at = F.instr(bin_contig, prefix)
+    cut = F.concat(F.substr(bin_contig, F.lit(1), at - 1), F.substr(bin_contig, at + F.length(prefix)))
+    return F.when(contig_bin.isNull() | (at == 0), bin_contig).otherwise(cut)
+
+
+def bin_of(bin_contig: Column) -> Column:
+    """What stands before ``_contig_<number>``; null if nothing does."""
+    return F.nullif(F.regexp_extract(bin_contig, r"(.+)_contig_\d+", 1), F.lit(""))
+
+
 def motif_mod(motif: Column, mod_type: Column, position: Column) -> Column:
     return F.concat_ws("_", motif, mod_type, position.cast("string"))

@@ -107,13 +107,33 @@ class Model:
         return self.variance() ** 0.5
 
     def log_likelihood(self) -> float:
-        """Of its own counts at the posterior mean."""
-        p, (k, n) = self.mean(), self.counts
-        return k * float(np.log(p)) + n * float(np.log(1 - p))
+        """Of alpha and beta, the prior's share among them, at the mean."""
+        p = self.mean()
+        return self.alpha * float(np.log(p)) + self.beta * float(np.log(1 - p))
 
     def log_likelihood_ratio(self, other: Model) -> float:
         return self.log_likelihood() - other.log_likelihood()
 
+    def log_likelihood_per_observation(self) -> float:
+        n = self.alpha + self.beta
+        return self.log_likelihood() / n if n else 0.0
+
+    def log_likelihood_ratio_per_observation(self, other: Model) -> float:
+        """By the observations that the other model lacks."""
+        n = self.alpha + self.beta - other.alpha - other.beta
+        return self.log_likelihood_ratio(other) / n if n else 0.0
+
+    def sample(self, n: int = 1, seed: int = 42) -> np.ndarray:
+        return np.random.default_rng(seed).beta(self.alpha, self.beta, n)
+
+    def predictive_check(self, positives: int, negatives: int, draws: int = 1000, seed: int = 42) -> float:
+        """Share of simulated data sets that are no likelier than the observed one: each from a drawn rate, the observed at the mean."""
+        rng, tiny = np.random.default_rng(seed), 1e-12
+        p = rng.beta(self.alpha, self.beta, draws)
+        k = rng.binomial(positives + negatives, p)
+        likelihood = lambda k, n, p: k * np.log(p + tiny) + n * np.log(1 - p + tiny)
+        return float((likelihood(k, positives + negatives - k, p) <= likelihood(positives, negatives, self.mean())).mean())
+
     def cdf(self, x: float, steps: int = 4096) -> float:
         """By Simpson's rule over the density."""
         t = np.linspace(0, 1, 2 * steps + 1)[1:-1]

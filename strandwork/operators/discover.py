@@ -220,6 +220,11 @@ class Search:
                 break
         return accepted + self.missed(accepted)
 
+    def top_scored(self, threshold: float = 3) -> set[Motif]:
+        """Motifs above the threshold that no ancestor above it leads to."""
+        good = {m for m, x in self.scores.items() if x > threshold}
+        return {m for m in good if not good & self.ancestors(m)}
+
     def missed(self, accepted: list[Motif]) -> list[Motif]:
         """Well-scored motifs without a well-scored ancestor or an accepted descendant, that aren't a variation of an accepted one."""
         covered = set().union(*(self.ancestors(a) for a in accepted)) | set(accepted) if accepted else set()
@@ -244,18 +249,38 @@ class Search:
         return {m: x for m, x in motifs.items() if m.text not in gone} | out
 
 
-def discover_group(pdf: pd.DataFrame, settings: Settings) -> pd.DataFrame:
-    """Motifs of one (bin, mod_type) from its windows."""
-    columns = ["reference", "mod_type", "motif", "mod_position", "alpha", "beta", "score"]
+def searched(pdf: pd.DataFrame, settings: Settings) -> tuple[Search, list[Motif]] | None:
+    """The finished search of one (bin, mod_type) and its candidates; None without methylated or background windows."""
     width = 2 * settings.padding + 1
     parts = {s: encoded(pdf.loc[pdf.state == s, "window"], width) for s in (1, 0, -1)}
-    reference, mod_type = pdf["bin"].iloc[0], pdf["mod_type"].iloc[0]
     if not len(parts[1]) or not len(parts[-1]):
-        return pd.DataFrame(columns=columns)
+        return None
     search = Search(parts[1], parts[0], frequencies(parts[-1]), settings)
-    base = 1 << "ACGT".index(CANONICAL.get(mod_type, "A"))
+    base = 1 << "ACGT".index(CANONICAL.get(pdf["mod_type"].iloc[0], "A"))
     root = Motif((ANY,) * settings.padding + (base,) + (ANY,) * settings.padding, settings.padding)
-    found = {m.stripped(): search.scores[m] for m in search.candidates(root)}
+    return search, search.candidates(root)
+
+
+def graph_group(pdf: pd.DataFrame, settings: Settings) -> pd.DataFrame:
+    """One row with the motifs that the search has scored and the steps between them."""
+    done = searched(pdf, settings)
+    if done is None:
+        return pd.DataFrame(columns=["reference", "mod_type", "nodes", "edges"])
+    search, _ = done
+    name = {m: m.text for m in search.scores}
+    nodes = [{"id": name[m], "score": float(x), "n_mod": int(search.model(m).counts[0]), "n_nomod": int(search.model(m).counts[1])} for m, x in search.scores.items()]
+    edges = [{"parent": name[p], "child": name[c]} for c, ps in search.parents.items() for p in sorted(ps, key=lambda m: m.text)]
+    return pd.DataFrame([(pdf["bin"].iloc[0], pdf["mod_type"].iloc[0], nodes, edges)], columns=["reference", "mod_type", "nodes", "edges"])
+
+
+def discover_group(pdf: pd.DataFrame, settings: Settings) -> pd.DataFrame:
+    """Motifs of one (bin, mod_type) from its windows."""
+    columns = ["reference", "mod_type", "motif", "mod_position", "alpha", "beta", "score"]
+    done = searched(pdf, settings)
+    if done is None:
+        return pd.DataFrame(columns=columns)
+    (search, candidates), reference, mod_type = done, pdf["bin"].iloc[0], pdf["mod_type"].iloc[0]
+    found = {m.stripped(): search.scores[m] for m in candidates}
     clean = {m: x for m, x in found.items() if not m.isolated(3)}
     rows = []
     for m, x in search.merged(clean or found).items():
@@ -264,14 +289,24 @@ def discover_group(pdf: pd.DataFrame, settings: Settings) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns).astype({"alpha": float, "beta": float, "score": float}) if rows else pd.DataFrame(columns=columns)
 
 
+def search_windows(pileup: DataFrame, assembly: DataFrame, contig_bins: DataFrame, settings: Settings) -> DataFrame:
+    binned = pileup.join(contig_bins.select("contig", "bin"), "contig")
+    return confident_windows(binned, assembly, settings).unionByName(background_windows(binned, assembly, settings))
+
+
+def motif_graphs(pileup: DataFrame, assembly: DataFrame, contig_bins: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(reference, mod_type, nodes, edges): what the search of each bin has looked at."""
+    schema = "reference string, mod_type string, nodes array<struct<id string, score double, n_mod long, n_nomod long>>, edges array<struct<parent string, child string>>"
+    return search_windows(pileup, assembly, contig_bins, settings).groupBy("bin", "mod_type").applyInPandas(lambda pdf: graph_group(pdf, settings), schema)
+
+
 def discover_motifs(pileup: DataFrame, assembly: DataFrame, contig_bins: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The bin motif table from a filtered pileup: one row per motif or complementary pair of each bin.
 
     Contigs without confident positions are passed over; a background sample takes what a short contig has.
     A (bin, mod_type) group holds the windows of one genome.
     """
-    binned = pileup.join(contig_bins.select("contig", "bin"), "contig")
-    windows = confident_windows(binned, assembly, settings).unionByName(background_windows(binned, assembly, settings))
+    windows = search_windows(pileup, assembly, contig_bins, settings)
     schema = "reference string, mod_type string, motif string, mod_position int, alpha double, beta double, score double"
     found = windows.groupBy("bin", "mod_type").applyInPandas(lambda pdf: discover_group(pdf, settings), schema)
     kept = without_sub_motifs(found, ["reference", "mod_type"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import HIGH, LOW, PRIOR
 from ..functions.motif import ANY, BASE_MASKS, Motif
-from ..functions.seqfn import pieces, reverse_complement
+from ..functions.seqfn import literal_positions, pieces, reverse_complement
 
 
 def covered(pileup: DataFrame, least: int = 5) -> DataFrame:
@@ -165,6 +165,33 @@ def sample_per_key(rows: DataFrame, key: str, order: list[str], n: Column | int,
     return rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
+def sample_subsequences(sequences: DataFrame, length: int, n: int = 1, seed: int = 42) -> DataFrame:
+    """(contig, seq): ``n`` stretches of each sequence at hashed starts, repeats possible; an error on a shorter sequence."""
+    rows = sequences.select("contig", "seq", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw"))
+    start = F.pmod(F.xxhash64("contig", "draw", F.lit(seed)), F.length("seq") - length + 1)
+    short = F.raise_error(F.concat(F.lit(f"no {length} bases in "), F.col("contig"))).cast("string")
+    return rows.select("contig", F.when(F.length("seq") < length, short).otherwise(F.substring(F.col("seq"), (start + 1).cast("int"), F.lit(length))).alias("seq"))
+
+
+def sample_at(sequences: DataFrame, sub: str, padding: int, n: int = 1, seed: int = 42) -> DataFrame:
+    """(contig, position, seq): up to ``n`` different occurrences of ``sub`` in each sequence with ``padding`` bases on either side.
+
+    Sampling is the feature; occurrences too near an end are left out.
+    """
+    found = sequences.select("contig", F.length("seq").alias("length"), F.explode(literal_positions(F.col("seq"), sub)).alias("position"))
+    inside = found.where((F.col("position") >= padding) & (F.col("position") + len(sub) + padding <= F.col("length"))).drop("length")
+    chosen = sample_per_key(inside, "contig", ["position"], n, seed).join(sequences.select("contig", "seq"), "contig")
+    return chosen.select("contig", "position", F.substring(F.col("seq"), F.col("position") - padding + 1, F.lit(len(sub) + 2 * padding)).alias("seq"))
+
+
+def position_matrix(rows: DataFrame, keys: list[str], seq: str = "window", pseudocount: float = 0.0, bases: str = "ACGT") -> DataFrame:
+    """(keys, pos, base, frequency) of equally long sequences for every base: (count + pseudocount) / sequences."""
+    long = rows.select(*keys, F.posexplode(F.split(seq, "")).alias("pos", "base"))
+    per = long.groupBy(*keys, "pos").agg(F.count("*").alias("n"), *(F.count_if(F.col("base") == b).alias(b) for b in bases))
+    each = F.explode(F.create_map(*(x for b in bases for x in (F.lit(b), (F.col(b) + pseudocount) / F.col("n")))))
+    return per.select(*keys, "pos", each.alias("base", "frequency"))
+
+
 def position_frequencies(rows: DataFrame, keys: list[str], seq: str = "window") -> DataFrame:
     """(keys, pos, base, frequency): the position matrix of equally long sequences, without pseudocounts."""
     long = rows.select(*keys, F.posexplode(F.split(seq, "")).alias("pos", "base"))

@@ -59,6 +59,17 @@ def read_contigs(spark: SparkSession, path: str, contigs: list[str] | DataFrame)
     return indexed.join(contigs.select("contig").distinct(), "contig", "left_semi")
 
 
+def pileup_of(spark: SparkSession, path: str, contigs: DataFrame) -> DataFrame:
+    """The pileup of some contigs: from an index (a folder that ``index_pileup`` wrote) or from a raw file. EmptyPileup if it has no rows."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        return read_pileup(spark, path)
+    out = read_contigs(spark, path, indexed_contigs(spark, path, contigs))
+    if out.isEmpty():
+        raise EmptyPileup(path)
+    return out
+
+
 def indexed_contigs(spark: SparkSession, path: str, contigs: DataFrame) -> DataFrame:
     """The given contigs that the index has."""
     return contigs.join(spark.read.parquet(path).select("contig").distinct(), "contig", "left_semi")

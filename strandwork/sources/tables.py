@@ -22,9 +22,23 @@ def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return spark.read.csv(path, sep="\t", header=True, inferSchema=True)
 
 
-def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
-    """One file: results for people, small by nature."""
-    df.coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=header)
+def write_tsv(df: DataFrame, path: str, header: bool = True, order: list[str] | None = None) -> None:
+    """One file at ``path``: results for people, small by nature. Only the last step, sorting and writing, is one task's."""
+    one = df.repartition(1)
+    staged = f"{path}.parts"
+    (one.sortWithinPartitions(*order) if order else one).write.mode("overwrite").csv(staged, sep="\t", header=header, emptyValue="")
+    spark = df.sparkSession
+    folder, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staged, path))
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), None)
+    fs.delete(target, True)
+    if part is not None:
+        fs.rename(part, target)
+    else:
+        out = fs.create(target)
+        out.write(("\t".join(df.columns) + "\n").encode() if header else b"")
+        out.close()
+    fs.delete(folder, True)
 
 
 def read_contamination(spark: SparkSession, path: str) -> DataFrame:
@@ -37,7 +51,7 @@ def read_contamination(spark: SparkSession, path: str) -> DataFrame:
 def write_motifs(motifs: DataFrame, path: str) -> None:
     """The formatted motif table, sorted; columns of structs are left out."""
     have = [c for c in MOTIF_COLUMNS if c in motifs.columns]
-    write_tsv(motifs.select(*have).orderBy("reference", "mod_type", "motif"), path)
+    write_tsv(motifs.select(*have), path, order=["reference", "mod_type", "motif"])
 
 
 def write_plain(df: DataFrame, path: str) -> None:
@@ -53,6 +67,25 @@ def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], force:
     return spark.read.parquet(path)
 
 
+def cached_tsv(spark: SparkSession, path: str, schema: str, make: Callable[[], DataFrame], inputs: dict, force: bool = False) -> DataFrame:
+    """The table at ``path``, made first if it isn't there, ``force`` is set or it was made from other inputs.
+
+    What it was made from lies beside it; a table without that record is taken as it is.
+    """
+    record = Path(path + ".inputs.json")
+    same = not record.exists() or json.loads(record.read_text()) == inputs
+    if force or not same or not Path(path).is_file():
+        record.unlink(missing_ok=True)
+        write_tsv(make(), path)
+        record.write_text(json.dumps(inputs))
+    return read_tsv(spark, path, schema)
+
+
+def combine_positions(parts: DataFrame) -> DataFrame:
+    """(contig, mod_type, motif, positions): motif positions from many files, each once, sorted."""
+    return parts.groupBy("contig", "mod_type", "motif").agg(F.array_sort(F.collect_set("position")).alias("positions"))
+
+
 def require(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Columns present, cast and in order; bin or contig may stand for reference. ValueError names what is missing."""
     for other in ("bin", "contig"):
