@@ -362,7 +362,33 @@ def q_assign_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return single
 
 
-@query()
+def _single_sql(k: int, entries: str, motifs: str) -> str:
+    """One round of single motif types as SQL: a{k} all candidates, u{k} motif links, w{k} gene links."""
+    return f"""c{k} as (select *, count(*) over (partition by reference, assign_mod_type, motif_type) as n_motifs from {motifs}),
+  f{k} as (select c.motif_row, c.motif, c.motif_type, c.n_motifs, e.gene_row, e.gene_id, e.sys_id, e.motif_type as gene_types from c{k} c join {entries} e
+    on c.reference = e.reference and c.assign_mod_type = e.mod_type and list_contains(string_split(e.motif_type, ', '), c.motif_type)),
+  a{k} as (select motif_row, n_motifs, count(*) as n, count(distinct sys_id) as s, count(sys_id) as p, array_to_string(list(gene_id order by gene_row), ', ') as candidate_genes from f{k} group by all),
+  u{k} as (select motif_row, candidate_genes from a{k} where n_motifs = 1 and (n = 1 or (s = 1 and p = n))),
+  w{k} as (select distinct gene_row from f{k} where motif_row in (select motif_row from u{k})
+    and (gene_types = motif_type or (motif_type in ('non-palindrome', 'bipartite') and gene_types = 'bipartite, non-palindrome')))"""
+
+
+@query(f"""with {GENES}, gg as (select *, case when gene_row % 13 = 0 then 'GATC' end as motif_guess from g),
+  e as (select * from gg union all select gene_row, gene_id, reference, t as mod_type, sys_id, motif_type, motif_guess from gg cross join (select unnest(['ac', 'm']) as t) where mod_type is null),
+  m as (select s_suppkey as motif_row, 'r' || s_suppkey as reference, case s_suppkey % 4 when 0 then 'GATC' when 1 then 'CCWGG' when 2 then 'GAAGAC' else 'GANNNNTGC' end as motif,
+    case s_nationkey % 2 when 0 then 'ac' else 'm' end as assign_mod_type, case s_suppkey % 4 when 2 then 'non-palindrome' when 3 then 'bipartite' else 'palindrome' end as motif_type from supplier),
+  forms as (select *, 0 as form, motif as written from m union all select *, 1 as form, reverse(translate(motif, 'ACGTRYSWKMBDHVN', 'TGCAYRSWMKVHDBN')) as written from m),
+  direct as (select e.gene_row, e.gene_id, e.sys_id, e.reference, e.mod_type, o.motif_row, o.form from e join forms o on e.reference = o.reference and e.mod_type = o.assign_mod_type and e.motif_guess = o.written),
+  lead_gene as (select motif_row, form, reference, mod_type, arg_min(sys_id, gene_row) as sys_id from direct group by all),
+  r1 as (select gene_row, gene_id, motif_row, form from direct union
+    select e.gene_row, e.gene_id, l.motif_row, l.form from e join lead_gene l on e.reference = l.reference and e.mod_type = l.mod_type and e.sys_id = l.sys_id),
+  p1 as (select motif_row, form, array_to_string(list(gene_id order by gene_row), ', ') as candidate_genes from r1 group by all),
+  u1 as (select motif_row, arg_max(candidate_genes, form) as candidate_genes from p1 group by all),
+  e2 as (select * from e where gene_row not in (select gene_row from r1)), m2 as (select * from m where motif_row not in (select motif_row from u1)), {_single_sql(2, "e2", "m2")},
+  e3 as (select * from e2 where gene_row not in (select gene_row from w2)), m3 as (select * from m2 where motif_row not in (select motif_row from u2)), {_single_sql(3, "e3", "m3")},
+  l as (select *, true as linked from u1 union all select *, true from u2 union all select *, true from u3
+    union all select motif_row, candidate_genes, false from a3 where motif_row not in (select motif_row from u3))
+  select m.*, l.candidate_genes, coalesce(l.linked, false) as linked from m left join l using (motif_row)""")
 def q_assign_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All three rounds; motifs with their candidate genes."""
     genes = _genes(spark, sf_dir).withColumn("motif_guess", F.when(F.col("gene_row") % 13 == 0, "GATC"))
