@@ -95,14 +95,15 @@ def with_pseudo_entries(genes: DataFrame) -> DataFrame:
     return genes.unionByName(extra)
 
 
-def assign(genes: DataFrame, motifs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def assign(genes: DataFrame, motifs: DataFrame, placed_lead: bool = False) -> tuple[DataFrame, DataFrame]:
     """(genes with linked and detected_motif, motifs with linked and candidate_genes).
 
     ``genes``: gene_row, reference, gene_id, mod_type, sys_id, motif_type, motif_guess (pseudo-entries are made
     here). ``motifs``: motif_row, reference, motif, assign_mod_type, motif_type. Round 1 takes a guess that
-    equals the motif or its reverse complement, and all genes of the first match's system. Round 2 takes
-    motif types that are single on both sides of a (reference, mod type). Round 3 does so again and lists
-    all candidates. What a round links is out of the next ones.
+    equals the motif or its reverse complement, and all genes of the first match's system; with ``placed_lead``
+    of the first match that has a system. Round 2 takes motif types that are single on both sides of a
+    (reference, mod type). Round 3 does so again and lists all candidates. What a round links is out of the
+    next ones.
     """
     entries = with_pseudo_entries(genes)
     on = (F.col("g.reference") == F.col("m.reference")) & (F.col("g.mod_type") == F.col("m.assign_mod_type"))
@@ -110,7 +111,8 @@ def assign(genes: DataFrame, motifs: DataFrame) -> tuple[DataFrame, DataFrame]:
     forms = forms.select("*", "f.form", "f.as").drop("f")
     g, m = entries.alias("g"), forms.alias("m")
     direct = g.join(m, on & (F.col("g.motif_guess") == F.col("m.as"))).select("g.gene_row", "g.gene_id", "g.sys_id", "g.reference", "g.mod_type", "m.motif_row", "m.form", "m.as")
-    lead = direct.groupBy("motif_row", "form", "as", "reference", "mod_type").agg(F.min_by("sys_id", "gene_row").alias("sys_id"))
+    place = F.when(F.col("sys_id").isNotNull(), F.col("gene_row")) if placed_lead else F.col("gene_row")  # rows of null order don't count
+    lead = direct.groupBy("motif_row", "form", "as", "reference", "mod_type").agg(F.min_by("sys_id", place).alias("sys_id"))
     family = entries.alias("e").join(
         lead.alias("l"), (F.col("e.reference") == F.col("l.reference")) & (F.col("e.mod_type") == F.col("l.mod_type")) & (F.col("e.sys_id") == F.col("l.sys_id"))
     ).select("e.gene_row", "e.gene_id", "l.motif_row", "l.form", "l.as")

@@ -220,6 +220,16 @@ def test_linker(spark):
     assert m == {0: (True, "g0, g1"), 1: (True, "g2"), 2: (False, "g3, g4"), 3: (False, None)}
 
 
+def test_placed_match_leads(spark):
+    genes = spark.createDataFrame(
+        [(0, "r", "g0", "ac", None, "palindrome", "GATC"), (1, "r", "g1", "ac", "s1", "palindrome", "GATC"), (2, "r", "g2", "ac", "s1", "bipartite", None)],
+        "gene_row long, reference string, gene_id string, mod_type string, sys_id string, motif_type string, motif_guess string",
+    )
+    motifs = spark.createDataFrame([(0, "r", "GATC", "ac", "palindrome")], "motif_row long, reference string, motif string, assign_mod_type string, motif_type string")
+    assert linker.assign(genes, motifs)[1].first().candidate_genes == "g0, g1"
+    assert linker.assign(genes, motifs, placed_lead=True)[1].first().candidate_genes == "g0, g1, g2"
+
+
 def test_nearest_rows(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 7)
     rng = np.random.default_rng(2)
