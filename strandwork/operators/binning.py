@@ -138,9 +138,9 @@ def confidence(assigned: DataFrame, mean_probability: float = 0.8) -> DataFrame:
     One bin from all methods: high if the mean probability reaches the bound, else medium. Two bins: low,
     the majority's rows. Three: left out.
     """
-    per = assigned.groupBy("contig").agg(F.countDistinct("assigned_bin").alias("bins"), F.avg("prob").alias("all_mean"))
-    majority = assigned.groupBy("contig", "assigned_bin").agg(F.count("*").alias("n"), F.avg("prob").alias("own_mean"))
-    rows = assigned.join(per, "contig").join(majority, ["contig", "assigned_bin"])
+    contig, own = Window.partitionBy("contig"), Window.partitionBy("contig", "assigned_bin")  # not joins: these would make the rows again
+    rows = assigned.withColumns({"bins": F.size(F.collect_set("assigned_bin").over(contig)), "all_mean": F.avg("prob").over(contig)})
+    rows = rows.where("contig is not null and assigned_bin is not null").withColumns({"n": F.count("*").over(own), "own_mean": F.avg("prob").over(own)})
     tier = F.when((F.col("bins") == 1) & (F.col("all_mean") >= mean_probability), "high_confidence").when(F.col("bins") == 1, "medium_confidence").when((F.col("bins") == 2) & (F.col("n") == 2), "low_confidence")
     mean = F.when(F.col("bins") == 1, F.col("all_mean")).otherwise(F.col("own_mean"))
     return rows.select("contig", "assigned_bin", "method", "prob", mean.alias("mean_prob"), tier.alias("confidence")).where("confidence is not null")
@@ -149,7 +149,7 @@ def confidence(assigned: DataFrame, mean_probability: float = 0.8) -> DataFrame:
 def include_contigs(methylation: DataFrame, contig_bins: DataFrame, contamination: DataFrame | None = None, mean_probability: float = 0.8) -> DataFrame:
     """Proposed bins of contigs without one, contaminants among them."""
     bins = contig_bins if contamination is None else contig_bins.join(contamination.select("contig").distinct(), "contig", "left_anti")
-    rows = add_bin(methylation, bins)
+    rows = add_bin(methylation, bins).persist()  # read many times; contigs by motifs, far fewer than the pileup's rows
     known = impute_in_bins(rows.where("bin <> 'unbinned'"))
     names = sorted(r[0] for r in known.select("motif_mod").distinct().collect())
     train = matrix(known, names).join(bins.select("contig", "bin"), "contig")

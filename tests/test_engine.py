@@ -1,6 +1,7 @@
 """Plans and grouped operators on small fixtures."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -197,6 +198,17 @@ def test_clusterers():
         assert (f(x, truth, x)[0] == truth).all()
 
 
+def test_nearest_in_blocks():
+    rng = np.random.default_rng(3)
+    train = np.repeat(rng.normal(size=(1000, 4)), 4, axis=0)  # copies: the first ones count
+    y = np.tile([0, 1, 1, 2], 1000)
+    tracemalloc.start()
+    found, share = cluster.nearest(train, y, train[::2])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found == 1).all() and np.allclose(share, 2 / 3) and peak < 100e6
+
+
 def test_linker(spark):
     hits = spark.createDataFrame(
         [(0, "c_1", "c", "RM_Type_II__Type_II_MTases", 10.0), (1, "c_1", "c", "RM__Type_I_MTases", 20.0), (2, "c_2", "c", "RM_Type_IIG__Type_IIG", 5.0), (3, "c_3", "c", "RM_Type_II__Type_II_MTases", 5.0), (4, "c_4", "c", "Cas9", 5.0), (5, "c_5", "c", "RM_Type_II__Type_II_MTases", 5.0)],
