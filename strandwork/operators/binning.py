@@ -97,7 +97,7 @@ def consensus(labels: DataFrame, contig_bins: DataFrame, lengths: DataFrame, vot
 
 
 def detect_contamination(methylation: DataFrame, contig_bins: DataFrame, lengths: DataFrame, votes: int = 4, neighbours: int = 10) -> DataFrame:
-    rows = add_bin(methylation, contig_bins)
+    rows = add_bin(methylation, contig_bins).persist()
     rows = several_contigs(impute_in_bins(rows.where("bin <> 'unbinned'")))
     n_bins = rows.select("bin").distinct().count()
     return consensus(cluster_labels(matrix(rows), n_bins, neighbours), contig_bins, lengths, votes)

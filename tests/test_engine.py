@@ -198,6 +198,22 @@ def test_clusterers():
         assert (f(x, truth, x)[0] == truth).all()
 
 
+def test_clusterers_of_many_rows():
+    rng = np.random.default_rng(4)
+    truth = rng.integers(0, 3, 2500)
+    x = rng.normal(size=(2500, 2)) * 0.1 + truth[:, None] * 3
+    same = lambda a: len(set(zip(a.tolist(), truth.tolist()))) == 3
+    tracemalloc.start()
+    assert same(cluster.ward(x, 3)) and same(cluster.spectral(x, 3)) and (cluster.density(x) >= -1).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 110e6  # one matrix of distances has 50 MB; several were held
+    small = x[:300]
+    assert (cluster.spectral(small, 7, dense=0) == cluster.spectral(small, 7)).mean() > 0.9
+    steps = np.cumsum(np.ravel([(0.5, 2 + i) for i in range(1500)]))
+    assert len(cluster.density(steps[:, None])) == 3000  # pairs that join one after the other: splits 1,500 deep
+
+
 def test_nearest_in_blocks():
     rng = np.random.default_rng(3)
     train = np.repeat(rng.normal(size=(1000, 4)), 4, axis=0)  # copies: the first ones count
