@@ -139,14 +139,14 @@ def enough_occurrences(motifs: DataFrame, least: int = 50) -> DataFrame:
     return motifs.where(F.col("n_mod") + F.col("n_nomod") >= least)
 
 
-def windows_around(rows: DataFrame, assembly: DataFrame, padding: int, size: int = 1024) -> DataFrame:
-    """``rows`` (contig, position, strand) with window, the bases around the position, and length, that of the contig.
+def windows_around(rows: DataFrame, assembly: DataFrame, padding: int, size: int = 1024, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` (contig, position, strand) with window, the bases around the position, length, that of the contig, and the assembly's columns ``keep``.
 
     Places outside the sequence are dashes; windows of the - strand are reverse-complemented; positions outside
     the sequence are left out. Rows meet pieces of the sequence, so none of them carries all of it.
     """
     margin = F.lit("-" * padding)
-    cut = assembly.select("contig", F.length("seq").alias("length"), F.posexplode(pieces(F.concat(margin, "seq", margin), size, 2 * padding)).alias("_piece", "_text"))
+    cut = assembly.select("contig", *keep, F.length("seq").alias("length"), F.posexplode(pieces(F.concat(margin, "seq", margin), size, 2 * padding)).alias("_piece", "_text"))
     at = F.col("position")
     near = rows.withColumn("_piece", F.floor(at / F.lit(size)).cast("int")).join(cut, ["contig", "_piece"]).where((at >= 0) & (at < F.col("length")))
     w = F.substring(F.col("_text"), (F.pmod(at, F.lit(size)) + 1).cast("int"), F.lit(2 * padding + 1))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandwork import cli
 from strandwork.functions import seqfn
-from strandwork.functions.motif import Motif
+from strandwork.functions.motif import ANY, BASE_MASKS, Motif
 from strandwork.operators import binning, cluster, discover, linker, neighbours, pileup, postprocess
 from strandwork.sources import fasta, tables
 from strandwork.sources import pileup as pileups
@@ -290,6 +290,25 @@ def test_discovery_finds_planted_motifs(spark):
         discover.Settings(low=0.8, high=0.7)
 
 
+def test_windows_as_bits(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ACGT-" if i % 3 else "ACGTN") for _ in range(5)) for i in range(1003)]
+    codes = np.array([[BASE_MASKS[ord(c)] for c in t] for t in texts])
+    for some in (slice(0, 1003), slice(1, 3), slice(4, 6)):
+        rows = discover.packed(spark.createDataFrame([("b", "a", t, 1) for t in texts[some]], "bin string, mod_type string, window string, state int"), 2).collect()
+        w = discover.Windows(5)
+        for r in rows:
+            w.add(r.n, bytes(r.bits))
+        w.close()
+        assert sum(len(r.bits) for r in rows) <= 5 * 4 * (sum(r.n for r in rows) // 8 + len(rows))  # a window was 41 characters and an object
+        m, own = Motif.read("G[AC]", 0), codes[some]
+        fit = ((own[:, 1] & m.sets[0]) != 0) & ((own[:, 2] & m.sets[1]) != 0)
+        chosen = w.fits((ANY, *m.sets, ANY, ANY), w.all)
+        assert discover.count(w.all) == len(own) and discover.count(chosen) == fit.sum() and discover.count(w.complete()) == (own != 0).all(1).sum()
+        want = [(own[fit] == a).sum(0) / max(fit.sum(), 1) for a in discover._AXES]
+        assert np.allclose(w.frequencies(chosen), want)
+
+
 def test_cli(spark, tmp_path):
     args = cli.parser().parse_args(["motif_discovery", "a.fa", "p.bed", "--contig_bin", "b.tsv", "--out", "o", "--min_motif_score", "2"])
     assert args.min_motif_score == 2 and args.threshold_valid_coverage == 5
